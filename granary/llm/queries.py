@@ -3,15 +3,65 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm import credentials, leakage, repetition, sentences
 from granary.llm.neardup import Alike, NearDuplicates
 
 
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# 2: credentials
+
+CODE_TABLES = (("starcoderdata", "raw_index", "content"), ("seed_snippets", "seed_index", "seed"), ("generated_rows", "seed_index", "seed"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = [
+        credentials.find_credentials(table(spark, d, name), id, text).select(F.lit(name).alias("record_table"), F.col("id").alias("record_id"), "start_char", "end_char")
+        for name, id, text in CODE_TABLES
+    ]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    found = [
+        credentials.redact_credentials(table(spark, d, name), id, text).select(F.lit(name).alias("record_table"), F.col("id").alias("record_id"), "text", "n_masked")
+        for name, id, text in CODE_TABLES
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+# 3: repetition
+
+
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repetition(table(spark, d, "training_rows"), "row_id", "response", ["lang"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = measured(spark, d)
+    return repetition.heavy(repetition.rejected(rows, repetition.cutoffs(rows))).select(F.col("id").alias("row_id")).distinct()
+
+
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    return measured(spark, d).select(F.col("id").alias("row_id"), "n_words", "n_covered", F.round("repeated_share", 6).alias("repeated_share"))
+
+
+def p3_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.cutoffs(measured(spark, d))
+
+
+# 5: near-duplicates
+
+
 def near(spark: SparkSession, d: str) -> NearDuplicates:
-    return NearDuplicates(spark.read.parquet(f"{d}/training_rows.parquet"), "row_id", ["instruction", "response"], Alike(shingle=2, threshold=0.70))
+    return NearDuplicates(table(spark, d, "training_rows"), "row_id", ["instruction", "response"], Alike(shingle=2, threshold=0.70))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +72,28 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near(spark, d).groups().select(F.col("id").alias("row_id"), "class_id", "group_id", "links")
 
 
+# 8: leakage
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_spans(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), {"zh": 20})
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans(spark, d).select(F.col("id").alias("doc_id"), "item_id").distinct()
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return spans(spark, d).withColumnRenamed("id", "doc_id")
+
+
+# 9: sentences
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p5_found": p5_found,
-    "p5_groups": p5_groups,
+    name: query for name, query in globals().items() if name[:1] == "p" and name[1:2].isdigit() and callable(query)
 }
