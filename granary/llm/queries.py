@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import credentials, leakage, repetition, sentences
+from granary.llm import arrays, credentials, leakage, repetition, sentences, truncation
 from granary.llm.neardup import Alike, NearDuplicates
 
 
@@ -16,6 +16,39 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+# 1: truncation
+
+TEXT_TABLES = (("training_rows", "row_id", "response", "source"), ("generated_rows", "seed_index", "solution", "openai_fingerprint"))
+
+
+def ending_model(spark: SparkSession, d: str) -> truncation.Model:
+    texts = [table(spark, d, name).select(arrays.text(text).alias("text")) for name, _, text, _ in TEXT_TABLES]
+    return truncation.fit(reduce(DataFrame.unionByName, texts))
+
+
+def cut_texts(spark: SparkSession, d: str) -> DataFrame:
+    model = ending_model(spark, d)
+    found = []
+    for name, id, text, source in TEXT_TABLES:
+        rows = table(spark, d, name)
+        limits = truncation.length_limits(truncation.lengths_of(rows, id, text, source))
+        found.append(truncation.truncated(rows, id, text, source, model, limits).withColumn("record_table", F.lit(name)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    tokens = truncation.truncated_tokens(table(spark, d, "tokenized_rows"), "row_id", "input_ids", 2)
+    texts = cut_texts(spark, d).where("cut").select("record_table", F.col("id").alias("record_id"))
+    return texts.unionByName(tokens.where("cut").select(F.lit("tokenized_rows").alias("record_table"), F.col("id").alias("record_id"))).distinct()
+
+
+def p1_sources(spark: SparkSession, d: str) -> DataFrame:
+    rows = cut_texts(spark, d).groupBy("record_table", "source", "id").agg(F.max("cut").alias("cut"), F.max("censored").alias("censored"))
+    return rows.groupBy("record_table", "source").agg(
+        F.count("*").alias("n_records"), F.sum(F.col("cut").cast("long")).alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("cut_share"), F.sum(F.col("censored").isNotNull().cast("long")).alias("n_at_limit")
+    )
+
+
 # 2: credentials
 
 CODE_TABLES = (("starcoderdata", "raw_index", "content"), ("seed_snippets", "seed_index", "seed"), ("generated_rows", "seed_index", "seed"))
