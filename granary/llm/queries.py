@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import arrays, credentials, leakage, repetition, sentences, truncation
+from granary.llm import arrays, credentials, leakage, pairs, repetition, sentences, truncation
 from granary.llm.neardup import Alike, NearDuplicates
 
 
@@ -90,6 +90,20 @@ def p3_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     return repetition.cutoffs(measured(spark, d))
 
 
+# 4: broken pairs
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "training_rows")
+    limits = truncation.length_limits(truncation.lengths_of(rows, "row_id", "response", "source"))
+    cut = truncation.truncated(rows, "row_id", "response", "source", ending_model(spark, d), limits)
+    return pairs.defects(rows, "row_id", cut).withColumnRenamed("id", "row_id")
+
+
+def p4_templates(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.templates(table(spark, d, "training_rows"))
+
+
 # 5: near-duplicates
 
 
