@@ -101,7 +101,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_templates(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.templates(table(spark, d, "training_rows"))
+    return pairs.templates(pairs.beginnings(pairs.marks(table(spark, d, "training_rows"), "row_id")))
 
 
 # 5: near-duplicates
