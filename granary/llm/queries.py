@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import arrays, credentials, leakage, pairs, repetition, sentences, truncation
+from granary.llm import arrays, credentials, leakage, packing, pairs, repetition, sentences, subset, truncation
 from granary.llm.neardup import Alike, NearDuplicates
 
 
@@ -119,6 +119,25 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near(spark, d).groups().select(F.col("id").alias("row_id"), "class_id", "group_id", "links")
 
 
+# 6: varied subsets
+
+
+def p6_selected(spark: SparkSession, d: str) -> DataFrame:
+    return subset.varied_subsets(table(spark, d, "training_rows"), table(spark, d, "subset_requests"))
+
+
+# 7: containers
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "pack_capacities"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    packed = p7_containers(spark, d).groupBy("capacity_id").agg(F.count("*").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    return packed.join(table(spark, d, "pack_capacities"), "capacity_id").withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
+
+
 # 8: leakage
 
 
