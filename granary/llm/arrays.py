@@ -27,25 +27,27 @@ def slot_sums(df: DataFrame, slots_of: Callable[[Iterator[pa.RecordBatch]], Iter
 
     ``slots_of`` turns a partition's batches into arrays of slot numbers. The partial sums
     leave each task as blocks of fixed size and are added before the driver fetches the one
-    array of ``slots`` counters, whose size does not depend on the data.
+    array of ``slots`` counters (32 bits, at most 2^31 - 1 each), whose size does not depend
+    on the data.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, dtype=np.int64)
+        total = np.zeros(slots, dtype=np.int32)
         for found in slots_of(batches):
             if len(found):
-                total += np.bincount(found, minlength=slots)
+                np.add(total, np.bincount(found, minlength=slots), out=total, casting="unsafe")
         blocks = [b for b in range(0, slots, BLOCK) if total[b : b + BLOCK].any()]
         yield pa.RecordBatch.from_pydict(
             {"block": pa.array(blocks, pa.int32()), "counts": pa.array([pack(total[b : b + BLOCK]) for b in blocks], pa.binary())}
         )
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(unpack(x)[0] for x in table.column("counts").to_pylist())
+        total = sum(unpack(x)[0].astype(np.int64) for x in table.column("counts").to_pylist())
+        total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
         return pa.table({"block": table.column("block")[:1].cast(pa.int32()), "counts": pa.array([pack(total)], pa.binary())})
 
     schema = "block int, counts binary"
-    result = np.zeros(slots, dtype=np.int64)
+    result = np.zeros(slots, dtype=np.int32)
     for row in df.mapInArrow(partial, schema).groupBy("block").applyInArrow(add, schema).collect():
         found = unpack(bytes(row["counts"]))[0]
         result[row["block"] : row["block"] + len(found)] = found

@@ -297,9 +297,9 @@ class NearDuplicates:
                     yield (sets.token & np.uint64(a.slots - 1)).astype(np.int64)
 
         counts = arrays.slot_sums(self.texts.select("text"), slots_of, a.slots)
-        total = math.ceil(int(counts.sum()) * float(1 - a.ratio))
+        total = math.ceil(int(counts.sum(dtype=np.int64)) * float(1 - a.ratio))
         trees = max(shuffle_width(self.spark), math.ceil(total / a.postings_per_tree))
-        shared = self.spark.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
+        shared = self.spark.sparkContext.broadcast(counts.astype(np.uint32))
         packed = arrays.arrow_map(self.texts.select("text"), lambda batch: emit(batch, shared.value, trees, a), "tree int, packed binary")
         found = packed.groupBy("tree").applyInArrow(lambda table: traverse(table, a), "a long, b long")
         return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
