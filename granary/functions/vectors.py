@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
 
+def with_value(v: Column, value: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f(x, value) for each x. The value is computed once, not for each x as it would be inside the lambda of transform()."""
+    return F.zip_with(v, F.array_repeat(value, F.size(v)), f)
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return total(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y))
 
@@ -31,14 +38,12 @@ def squared_distance(a: Column | str, b: Column | str) -> Column:
 
 def normalized(v: Column | str, least: float = 1e-12) -> Column:
     """The vector divided by its norm; a zero vector stays zero."""
-    length = F.greatest(norm(v), F.lit(least))
-    return F.transform(doubles(v), lambda x: x / length)
+    return with_value(doubles(v), F.greatest(norm(v), F.lit(least)), lambda x, length: x / length)
 
 
 def log_softmax(v: Column | str) -> Column:
-    top = F.array_max(doubles(v))
-    rest = F.log(total(F.transform(doubles(v), lambda x: F.exp(x - top))))
-    return F.transform(doubles(v), lambda x: x - top - rest)
+    low = with_value(doubles(v), F.array_max(doubles(v)), lambda x, top: x - top)
+    return with_value(low, F.log(total(F.transform(low, lambda x: F.exp(x)))), lambda x, rest: x - rest)
 
 
 def masked_mean(values: Column, mask: Column) -> Column:
@@ -53,7 +58,7 @@ def proxy_gradient(chance: Column, hidden: Column, labels: Column, ignored: int
     held = F.filter(F.arrays_zip(chance.alias("p"), hidden.alias("h"), labels.alias("y")), lambda t: t["y"] != ignored)
     zero = F.array_repeat(F.lit(0.0), width)
     added = F.aggregate(held, zero, lambda a, t: F.zip_with(a, doubles(t["h"]), lambda x, h: x + (t["p"] - 1.0) * h))
-    return F.transform(added, lambda x: x / F.greatest(F.size(held), F.lit(1)))
+    return with_value(added, F.greatest(F.size(held), F.lit(1)), lambda x, n: x / n)
 
 
 def by_dimension(df: DataFrame, vector: str, *keys: str) -> DataFrame:

@@ -75,7 +75,7 @@ def pruned(rows: DataFrame, id: str, group: str, distance: str, plan: Plan, keep
 def slotted(df: DataFrame, id: str, group: str, seed: int) -> DataFrame:
     """``df`` with ``slot``: the rank from 1 in a shuffle inside each group, seeded with seed + group."""
     key = order_key(F.lit(seed) + F.col(group), id)
-    return df.withColumn("slot", F.row_number().over(Window.partitionBy(group).orderBy(key, id)))
+    return df.withColumn("slot", F.row_number().over(Window.partitionBy(group).orderBy(key, id)).cast("long"))
 
 
 def oversampled(df: DataFrame, id: str, group: str, plan: Plan) -> DataFrame:
@@ -95,7 +95,7 @@ def oversampled(df: DataFrame, id: str, group: str, plan: Plan) -> DataFrame:
     base = F.concat_ws(":", F.col(group).cast("string"), F.col("slot").cast("string"))
     drawn = extra.withColumn("_slot", draw(plan.seed, base, F.col("n")) + 1)
     again = drawn.join(rows.withColumnRenamed("slot", "_slot"), [group, "_slot"]).select(id, group, F.col("slot").cast("long"), F.lit(True).alias("copy"))
-    return rows.where(F.col("slot") <= target).select(id, group, F.col("slot").cast("long"), F.lit(False).alias("copy")).unionByName(again)
+    return rows.where(F.col("slot") <= target).select(id, group, "slot", F.lit(False).alias("copy")).unionByName(again)
 
 
 def farthest_first(df: DataFrame, id: str, group: str, vector: str, keep: int, most: int = 200_000) -> DataFrame:
