@@ -150,7 +150,7 @@ def ends_sentence(text: str, first: int, marks: str, after: int, quoted: bool) -
             return False
     if word in TITLES:
         return False
-    if word in NUMBERED and (lead.isdigit() or word in ("No", "Nr", "Fig", "Sec", "Abb") or c == "`"):
+    if word in NUMBERED and (lead.isdigit() or word in ("Nr", "Fig", "Sec", "Abb") or c == "`"):
         return False
     if len(word) == 1 and word.isupper() and word.isalpha() and not lead.isdigit():
         return False
