@@ -130,14 +130,25 @@ def postings(sets: Sets, order: np.ndarray, a: Alike) -> tuple[np.ndarray, ...]:
     )
 
 
-def emit(batch: pa.RecordBatch, order: np.ndarray, trees: int, a: Alike) -> pa.RecordBatch | None:
+def unseen(sets: Sets, seen: set[int]) -> np.ndarray:
+    """Whether each text is the first of its class in the task; ``seen`` holds the classes met so far.
+
+    A group of copies, however large, thus counts once in a task and sends its tokens once.
+    """
+    keys, first = np.unique(sets.key, return_index=True)
+    new = [k for k, key in zip(first.tolist(), keys.tolist(), strict=True) if key not in seen]
+    seen.update(keys.tolist())
+    once = np.zeros(len(sets.key), dtype=bool)
+    once[new] = True
+    return once
+
+
+def emit(batch: pa.RecordBatch, order: np.ndarray, trees: int, a: Alike, seen: set[int]) -> pa.RecordBatch:
     """For each group of trees one packed row of the batch's classes and their tokens there."""
     group: list[int] = []
     packed: list[bytes] = []
     for _, sets in chunk_sets(batch, a.shingle):
-        _, kept = np.unique(sets.key, return_index=True)
-        once = np.zeros(len(sets.key), dtype=bool)
-        once[kept] = True
+        once = unseen(sets, seen)
         bits = bitmaps(sets, a.bitmap_words)
         token, row, short, side = postings(sets, order, a)
         keep = once[row]
@@ -292,15 +303,22 @@ class NearDuplicates:
         a = self.alike
 
         def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+            seen: set[int] = set()
             for batch in batches:
                 for _, sets in chunk_sets(batch, a.shingle):
-                    yield (sets.token & np.uint64(a.slots - 1)).astype(np.int64)
+                    yield (sets.token[unseen(sets, seen)[sets.row]] & np.uint64(a.slots - 1)).astype(np.int64)
 
         counts = arrays.slot_sums(self.texts.select("text"), slots_of, a.slots)
         total = math.ceil(int(counts.sum(dtype=np.int64)) * float(1 - a.ratio))
         trees = max(shuffle_width(self.spark), math.ceil(total / a.postings_per_tree))
         shared = self.spark.sparkContext.broadcast(counts.astype(np.uint32))
-        packed = arrays.arrow_map(self.texts.select("text"), lambda batch: emit(batch, shared.value, trees, a), "tree int, packed binary")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in batches:
+                yield emit(batch, shared.value, trees, a, seen)
+
+        packed = self.texts.select("text").mapInArrow(run, "tree int, packed binary")
         found = packed.groupBy("tree").applyInArrow(lambda table: traverse(table, a), "a long, b long")
         return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

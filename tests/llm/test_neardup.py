@@ -67,3 +67,12 @@ def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     out = {r["node"]: r["root"] for r in components(chain, "a", "b").collect()}
     assert out == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_a_group_of_copies_counts_once_in_a_task():
+    from granary.llm import neardup
+
+    sets = neardup.token_sets(["a b c", "x y z", "a b c", "A, b c!"], 2)
+    seen = set()
+    assert neardup.unseen(sets, seen).tolist() == [True, True, False, False]
+    assert neardup.unseen(sets, seen).tolist() == [False] * 4
