@@ -11,6 +11,7 @@ values alone.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -63,10 +64,16 @@ PLACEHOLDER = re.compile(
 CODE = re.compile(r"\A(?:[A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)+|[A-Za-z_$][\w$.]*[(\[].*|@.*|&.*|new)\Z")
 DIGEST = re.compile(r"\A(?:[0-9a-fA-F]{7,128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\Z")
 SPLIT = re.compile(r"[A-ZÀ-ÞА-Я]?[a-zß-ÿа-яё0-9]+|[A-ZÀ-ÞА-Я]+(?![a-zß-ÿа-яё])|[一-鿿぀-ヿ]+")
+#: What every line with a named credential or a login holds a piece of, and what every issued key begins with.
+HINT = re.compile(r"(?i)pass|pwd|secret|key|token|cred|auth|kennwort|clave|contrase|senha|mot.{0,2}de|mdp|парол|密码|パスワード|login|connect|sign.?in|sshpass|mysql|mariadb|psql|curl")
+ISSUERS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "k_live_", "k_test_", "AIza", "npm_", "hf_", "SG.", "ya29.", "pypi-", "dop_v1_", "eyJ")
 #: A string that no one writes by hand has fewer characters per subword than this.
 UNNATURAL = 2.6
 
 
+RULES = ((NAMED, "named"), (PAIRED, "named"), (OTHERWISE, "fallback"), (DEFAULT, "fallback"), (ELEMENT, "named"), (ATTRIBUTE, "named"), (SPACED, "option"))
+
+
 @dataclass(frozen=True)
 class Found:
     start: int
@@ -103,6 +110,20 @@ def plausible(value: str, sure: bool, per_subword: float, quoted: bool) -> bool:
     return len(value) >= 8 and (per_subword < UNNATURAL or kinds >= 3)
 
 
+def hinted_lines(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, end of the next line) of each line that holds a hint."""
+    at = 0
+    while m := HINT.search(text, at):
+        begin = text.rfind("\n", 0, m.start()) + 1
+        end = text.find("\n", m.end())
+        end = len(text) if end < 0 else end
+        after = text.find("\n", end + 1)
+        yield begin, end, len(text) if after < 0 else after
+        at = end + 1
+        if at > len(text):
+            return
+
+
 def find(text: str, path: str) -> list[Found]:
     """Credential values of one text, by place; of overlapping proposals the longer one."""
     found: list[Found] = []
@@ -114,7 +135,8 @@ def find(text: str, path: str) -> list[Found]:
         if end > start:
             found.append(Found(start, end, kind, per(text[start:end][:4096])))
 
-    for m in KEY_BEGIN.finditer(text):
+    framed = "-----" in text
+    for m in KEY_BEGIN.finditer(text) if framed else ():
         end = KEY_END.search(text, m.end())
         other = KEY_BEGIN.search(text, m.end())
         if end and (not other or end.start() < other.start()):
@@ -122,12 +144,12 @@ def find(text: str, path: str) -> list[Found]:
         else:
             rest = KEY_REST.match(text, m.end())
             add(m.start(), m.end() + len(rest[0].rstrip()), "private_key")
-    for m in KEY_END.finditer(text):
+    for m in KEY_END.finditer(text) if framed else ():
         if not any(f.kind == "private_key" and f.end == m.end() for f in found):
             body = KEY_BODY.search(text, 0, m.start())
             begin = body.start() + len(body[0]) - len(body[0].lstrip(" \t#/;*\r\n")) if body and body[0].strip() else m.start()
             add(begin, m.end(), "private_key")
-    shut = [(f.start, f.end) for f in found] + [m.span() for m in PUBLIC.finditer(text)]
+    shut = [(f.start, f.end) for f in found] + ([m.span() for m in PUBLIC.finditer(text)] if framed else [])
 
     def free(start: int, end: int) -> bool:
         return not any(a < end and start < b for a, b in shut)
@@ -150,30 +172,31 @@ def find(text: str, path: str) -> list[Found]:
             if plausible(value, sure, per(value), quoted):
                 add(start, end, kind)
 
-    for m in ISSUED.finditer(text):
+    for m in ISSUED.finditer(text) if any(x in text for x in ISSUERS) else ():
         if free(*m.span()):
             add(*m.span(), "issued_key")
             shut.append(m.span())
-    for m in USER_PART.finditer(text):
+    for m in USER_PART.finditer(text) if "://" in text and "@" in text else ():
         if not PLACEHOLDER.match(m[1]) and free(*m.span(1)) and not re.fullmatch(r"\d{2,5}", m[1]):
             add(*m.span(1), "address")
             shut.append(m.span(1))
-    for m in SCHEME.finditer(text):
+    for m in SCHEME.finditer(text) if "uthorization" in text or "UTHORIZATION" in text else ():
         before = text[max(0, m.start() - 40) : m.start()].lower()
         if "authorization" in before and not PLACEHOLDER.match(m[1]) and (per(m[1]) < UNNATURAL or re.search(r"\d", m[1])) and free(*m.span(1)):
             add(*m.span(1), "authorization")
             shut.append(m.span(1))
-    for pattern, kind in ((NAMED, "named"), (PAIRED, "named"), (OTHERWISE, "fallback"), (DEFAULT, "fallback"), (ELEMENT, "named"), (ATTRIBUTE, "named"), (SPACED, "option")):
-        at = 0
-        while m := pattern.search(text, at):
-            name = m.groupdict().get("name") or m.groupdict().get("other") or ""
-            level = strength(name)
-            if level:
-                propose(m, kind, level == 2)
-            at = max(m.end("name") if m.groupdict().get("name") else m.start() + 1, m.start() + 1)
-    for pattern in LOGINS:
-        for m in pattern.finditer(text):
-            propose(m, "login", True)
+    for begin, end, after in hinted_lines(text):
+        for pattern, kind in RULES:
+            at, last = begin, after if pattern is ATTRIBUTE else end
+            while m := pattern.search(text, at, last):
+                name = m.groupdict().get("name") or m.groupdict().get("other") or ""
+                level = strength(name)
+                if level:
+                    propose(m, kind, level == 2)
+                at = max(m.end("name") if m.groupdict().get("name") else m.start() + 1, m.start() + 1)
+        for pattern in LOGINS:
+            for m in pattern.finditer(text, begin, end):
+                propose(m, "login", True)
     found.sort(key=lambda f: (f.start, -(f.end - f.start)))
     kept: list[Found] = []
     for f in found:
