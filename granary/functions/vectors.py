@@ -82,10 +82,10 @@ def mean_vector(df: DataFrame, vector: str) -> DataFrame:
 
 
 def mean_centered(df: DataFrame, vector: str) -> DataFrame:
-    """``df`` with the mean of all vectors taken from each."""
-    center = mean_vector(df, vector)
-    moved = F.zip_with(doubles(vector), F.col("center"), lambda x, c: x - c)
-    return df.join(F.broadcast(center)).withColumn(vector, moved).drop("center")
+    """``df`` with the mean of all vectors taken from each; the mean, one number per dimension, passes the driver."""
+    mean = mean_vector(df, vector).first()["center"] or []
+    center = F.array(*[F.lit(x) for x in mean]).cast("array<double>")
+    return df.withColumn(vector, F.zip_with(doubles(vector), center, lambda x, c: x - c))
 
 
 def diversity(df: DataFrame, vector: str, *groups: str) -> DataFrame:

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from granary.functions.vectors import RANK_DECIMALS, doubles, squared_distance
 from granary.session import cut
 
+#: Numbers of all centers up to which the distances are plain expressions.
+EXPRESSION_NUMBERS = 2048
+
 
 @dataclass(frozen=True)
 class Grouping:
@@ -48,10 +55,45 @@ def distances(vector: str, centers: list[list[float]]):
 def nearest_centers(df: DataFrame, id: str, vector: str, centers: list[list[float]], n: int = 1) -> DataFrame:
     """(id, choice, cluster, dist): the ``n`` nearest centers of each row with a vector, nearest first from choice 1."""
     rows = df.where(F.col(vector).isNotNull() & F.col(id).isNotNull())
+    if len(centers) * len(centers[0]) > EXPRESSION_NUMBERS:
+        return nearest_by_matrix(rows.select(F.col(id), doubles(vector).alias("_v")), id, centers, n)
     near = F.slice(distances(vector, centers), 1, n)
     return rows.select(id, F.posexplode(near).alias("_p", "_s")).select(id, (F.col("_p") + 1).alias("choice"), F.col("_s.cluster").alias("cluster"), F.col("_s.dist").alias("dist"))
 
 
+def nearest_by_matrix(rows: DataFrame, id: str, centers: list[list[float]], n: int) -> DataFrame:
+    """The same for many or long centers: one matrix product per Arrow batch, exact distances for the ``n`` + 4 closest.
+
+    The centers are broadcast: k vectors, whose number is a parameter.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(np.asarray(centers, dtype=np.float64))
+    schema = StructType([rows.schema[id], StructField("choice", IntegerType()), StructField("cluster", IntegerType()), StructField("dist", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        wide = min(len(c), n + 4)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            rough = (c * c).sum(axis=1)[None, :] - 2 * (x @ c.T)
+            close = np.sort(np.argpartition(rough, wide - 1, axis=1)[:, :wide], axis=1)
+            dist = np.round(((x[:, None, :] - c[close]) ** 2).sum(axis=2), RANK_DECIMALS)
+            order = np.argsort(dist, axis=1, kind="stable")[:, : min(n, wide)]
+            k = order.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(id).take(pa.array(np.repeat(np.arange(batch.num_rows), k))),
+                    pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), batch.num_rows)),
+                    pa.array(np.take_along_axis(close, order, axis=1).reshape(-1).astype(np.int32)),
+                    pa.array(np.take_along_axis(dist, order, axis=1).reshape(-1)),
+                ],
+                names=[id, "choice", "cluster", "dist"],
+            )
+
+    return rows.mapInArrow(run, schema)
+
+
 def capacity(rows: int, k: int, eps: float) -> int:
     return math.ceil((1 + eps) * rows / k)
 

@@ -29,17 +29,18 @@ def ordered(df: DataFrame, group: str, mode: str, id: str, seed: int = 42) -> Da
     sizes = sizes_by_group(df, group)
     if not sizes:
         return df.withColumn("pos", F.lit(0).cast("long"))
-    place = F.lit(None).cast("long")
-    for k, (name, _) in enumerate(sizes):
-        before = F.lit(0).cast("long")
-        for j, (_, n) in enumerate(sizes):
-            if mode == "seq":
-                before = before + F.lit(n if j < k else 0)
-            else:
-                before = before + F.least(F.lit(n), F.col("slot") - 1) + (F.when(F.col("slot") <= n, F.lit(1)).otherwise(F.lit(0)) if j < k else F.lit(0))
-        value = before + (F.col("slot") - 1 if mode == "seq" else F.lit(0))
-        place = F.when(F.col(group) == F.lit(name), value).otherwise(place)
-    return df.withColumn("pos", place.cast("long"))
+    names, counts = F.array(*[F.lit(g) for g, _ in sizes]), [n for _, n in sizes]
+    place = (F.array_position(names, F.col(group)) - 1).cast("int")
+    if mode == "seq":
+        starts = F.array(*[F.lit(sum(counts[:k])).cast("long") for k in range(len(counts))])
+        pos = F.element_at(starts, place + 1) + F.col("slot") - 1
+    elif min(counts) == max(counts):
+        pos = (F.col("slot") - 1) * len(counts) + place
+    else:
+        held = F.array(*[F.lit(n).cast("long") for n in counts])
+        earlier = F.aggregate(held, F.lit(0).cast("long"), lambda a, n: a + F.least(n, F.col("slot") - 1))
+        pos = earlier + F.size(F.filter(F.slice(held, F.lit(1), place), lambda n: n >= F.col("slot")))
+    return df.withColumn("pos", pos.cast("long"))
 
 
 def worker(pos: Column | str, workers: int) -> Column:

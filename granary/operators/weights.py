@@ -32,5 +32,5 @@ def row_weights(selected: DataFrame, sizes: DataFrame, group: str, mode: str) ->
     """``selected`` with ``row_weight``: the weight of its group, divided by the mean over the selected rows (with multiplicity)."""
     by_group = F.broadcast(sizes.select(group, mode_weight(F.col("share"), mode).alias("_w")))
     weighted = selected.join(by_group, group)
-    mean = F.broadcast(weighted.agg(F.avg("_w").alias("_mean")))
-    return weighted.join(mean).withColumn("row_weight", F.col("_w") / F.col("_mean")).drop("_w", "_mean")
+    mean = weighted.agg(F.avg("_w")).first()[0]
+    return weighted.withColumn("row_weight", F.col("_w") / F.lit(mean)).drop("_w")

@@ -37,8 +37,8 @@ def window(df: DataFrame, index: str, start: int, end: int) -> DataFrame:
 
 def remaining_by_position(df: DataFrame, written: DataFrame, index: str) -> DataFrame:
     """Rows after the last index written; what was dropped before it is not tried again."""
-    last = written.agg(F.max(index).alias("_last"))
-    return df.join(F.broadcast(last), F.col("_last").isNull() | (F.col(index) > F.col("_last"))).drop("_last")
+    last = written.agg(F.max(index)).first()[0]
+    return df if last is None else df.where(F.col(index) > last)
 
 
 def remaining_by_key(df: DataFrame, written: DataFrame, index: str) -> DataFrame:

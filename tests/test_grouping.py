@@ -64,3 +64,12 @@ def test_vectors(spark):
     out = df.select("id", vectors.normalized("a").alias("n"), vectors.norm("a").alias("l"), *[c.alias(k) for k, c in fit.items()]).orderBy("id").collect()
     assert out[0]["n"] == [0.6, 0.8] and out[0]["l"] == 5.0 and abs(out[0]["factor"] - 2) < 1e-12 and abs(out[0]["explained"] - 1) < 1e-9
     assert out[1]["n"] == [0.0, 0.0] and (out[1]["factor"], out[1]["remains"], out[1]["cosine"]) == (0.0, 1.0, 0.0)
+
+
+def test_matrix_and_expressions_give_the_same_centers(spark, monkeypatch):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, [round(rng.random(), 1) for _ in range(3)]) for i in range(200)] + [(900, None)], "id long, v array<double>")
+    centers = [[round(rng.random(), 1) for _ in range(3)] for _ in range(9)] + [[0.5, 0.5, 0.5]] * 2
+    plain = grouping.nearest_centers(df, "id", "v", centers, 3)
+    monkeypatch.setattr(grouping, "EXPRESSION_NUMBERS", 0)
+    assert sorted(grouping.nearest_centers(df, "id", "v", centers, 3).collect()) == sorted(plain.collect())
