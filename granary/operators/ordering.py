@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions import ranks
 from granary.functions.hashing import order_key, ranked
 
 MODES = ("interleaved", "seq", "rand")
@@ -51,10 +52,10 @@ def epoch_order(df: DataFrame, workers: int, seed: int, epoch: int, id: str, mod
     """``df`` with ``new_pos``: rows are shuffled among the positions of their worker, or among all with the mode "rand"."""
     if mode == "rand":
         return ranked(df.withColumn("_key", order_key(seed + epoch, id, F.col("pos"))), "_key", id, "pos", name="new_pos").drop("_key")
-    share = worker("pos", workers)
-    key = order_key(F.lit(seed + epoch + 12345) + share, id, F.col("pos"))
-    inside = F.row_number().over(Window.partitionBy(share).orderBy(key, id, "pos")) - 1
-    return df.withColumn("new_pos", (inside * workers + share).cast("long"))
+    shared = df.withColumn("_share", worker("pos", workers))
+    keyed = shared.withColumn("_key", order_key(F.lit(seed + epoch + 12345) + F.col("_share"), id, F.col("pos")))
+    inside = ranks.ranked(ranks.placed(ranks.by_key(keyed, "_key"), "_share"), "_share", "_key", id, "pos", name="_inside")
+    return inside.withColumn("new_pos", ((F.col("_inside") - 1) * workers + F.col("_share")).cast("long")).select(*df.columns, "new_pos")
 
 
 def shard(df: DataFrame, workers: int, rank: int, drop_last: bool = True) -> DataFrame:

@@ -1,7 +1,7 @@
 """Balanced selection: equally many rows of each group, by distance, norm or chance.
 
-Groups may be of any size. Ranks inside a group come from one window per group; a rule that
-keeps the first or last m rows lets Spark drop the rest before the shuffle.
+Groups may be of any size, also one that holds most rows: ranks are counted in ranges of a
+group's order, and ranges without a kept row are left out before rows are moved.
 """
 
 from __future__ import annotations
@@ -10,9 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions import ranks
 from granary.functions.hashing import draw, order_key
 from granary.functions.vectors import RANK_DECIMALS
 
@@ -55,27 +56,30 @@ def selected(df: DataFrame, id: str, group: str, distance: str, plan: Plan, norm
 
 
 def pruned(rows: DataFrame, id: str, group: str, distance: str, plan: Plan, keep: int | None, norm: str | None) -> DataFrame:
+    """The rows that the rule keeps. Only ranges of a group that hold kept rows are moved."""
     if keep is None:
         return rows
-    near = F.round(distance, RANK_DECIMALS)
-    ranked = lambda *order: F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    if plan.rule == "mix":
-        head, tail = keep // 2, keep - keep // 2
-        both = rows.withColumn("_a", ranked(near.asc(), F.col(id).asc())).withColumn("_b", ranked(near.desc(), F.col(id).desc()))
-        return both.where((F.col("_a") <= head) | (F.col("_b") <= tail)).drop("_a", "_b")
-    order: dict[str, list[Column]] = {
-        "far": [near.asc(), F.col(id).asc()],
-        "close": [near.desc(), F.col(id).desc()],
-        "rand": [order_key(plan.seed, id, F.col(group)), F.col(id).asc()],
-        "big": [F.round(norm or distance, RANK_DECIMALS).desc(), near.desc(), F.col(id).desc()],
-    }
-    return rows.withColumn("_rank", ranked(*order[plan.rule])).where(F.col("_rank") <= keep).drop("_rank")
+    columns = rows.columns
+    if plan.rule == "rand":
+        keyed = rows.withColumn("_key", order_key(plan.seed, id, F.col(group)))
+        ranged, order, ends = ranks.by_key(keyed, "_key"), ["_key", id], ("head",)
+    else:
+        near = F.round(distance, RANK_DECIMALS)
+        big = plan.rule == "big"
+        valued = rows.withColumn("_value", F.round(norm or distance, RANK_DECIMALS) if big else near)
+        ranged, order = ranks.by_value(valued, group, "_value"), ["_value", near, id]
+        ends = {"far": ("head",), "mix": ("head", "tail")}.get(plan.rule, ("tail",))
+    head = {"mix": keep // 2}.get(plan.rule, keep) if "head" in ends else 0
+    tail = keep - keep // 2 if plan.rule == "mix" else keep if "tail" in ends else 0
+    needed = (F.col("_ahead") < head) | (F.col("_ahead") + F.col("_size") > F.col("_n") - tail)
+    ranked = ranks.ranked(ranks.placed(ranged, group).where(needed), group, *order)
+    return ranked.where((F.col("_rank") <= head) | (F.col("_rank") > F.col("_n") - tail)).select(*columns)
 
 
 def slotted(df: DataFrame, id: str, group: str, seed: int) -> DataFrame:
     """``df`` with ``slot``: the rank from 1 in a shuffle inside each group, seeded with seed + group."""
-    key = order_key(F.lit(seed) + F.col(group), id)
-    return df.withColumn("slot", F.row_number().over(Window.partitionBy(group).orderBy(key, id)).cast("long"))
+    keyed = df.withColumn("_key", order_key(F.lit(seed) + F.col(group), id))
+    return ranks.ranked(ranks.placed(ranks.by_key(keyed, "_key"), group), group, "_key", id, name="slot").select(*df.columns, "slot")
 
 
 def oversampled(df: DataFrame, id: str, group: str, plan: Plan) -> DataFrame:
