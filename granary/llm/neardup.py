@@ -65,12 +65,15 @@ def token_sets(texts: list[str], n: int) -> Sets:
     w = words.words(texts)
     hashes, at = words.runs(w.row, w.hash, n)
     owner = w.row[at].astype(np.uint64)
-    both = np.unique((owner << np.uint64(TOKEN_BITS)) | (hashes & TOKEN_MASK))
+    both = words.distinct((owner << np.uint64(TOKEN_BITS)) | (hashes & TOKEN_MASK))
     row = (both >> np.uint64(TOKEN_BITS)).astype(np.int64)
     token = both & TOKEN_MASK
     size = np.bincount(row, minlength=len(texts))
     total = np.zeros(len(texts), dtype=np.uint64)
-    np.add.at(total, row, words.mix(token * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
+    held = np.flatnonzero(size)
+    if len(held):
+        first = (np.cumsum(size) - size)[held]
+        total[held] = np.add.reduceat(words.mix(token * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), first)
     key = words.mix(total + size.astype(np.uint64)).view(np.int64)
     return Sets(row, token, size, key)
 
@@ -92,9 +95,14 @@ def chunk_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, Sets]]:
 def bitmaps(sets: Sets, count: int) -> np.ndarray:
     """A bitmap of ``count`` 64-bit words of each text's tokens."""
     place = words.mix(sets.token) % np.uint64(64 * count)
-    flat = np.zeros(len(sets.size) * count, dtype=np.uint64)
-    np.bitwise_or.at(flat, sets.row * count + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-    return flat.reshape(-1, count)
+    out = np.zeros((len(sets.size), count), dtype=np.uint64)
+    held = np.flatnonzero(sets.size)
+    if len(held):
+        bit, part = np.uint64(1) << (place & np.uint64(63)), place >> np.uint64(6)
+        first = (np.cumsum(sets.size) - sets.size)[held]
+        for k in range(count):
+            out[held, k] = np.bitwise_or.reduceat(np.where(part == k, bit, np.uint64(0)), first)
+    return out
 
 
 def postings(sets: Sets, order: np.ndarray, a: Alike) -> tuple[np.ndarray, ...]:
@@ -193,7 +201,7 @@ class Forest:
             extra, ors = np.maximum.reduceat(extra, first), np.bitwise_or.reduceat(ors, first, axis=0)
             self.levels.append((np.append(first, len(owner)), low, high, extra, ors))
             owner = owner[first]
-            if len(np.unique(owner)) == len(owner):
+            if (owner[1:] != owner[:-1]).all():
                 break
 
     def pairs(self, short: np.ndarray, side: np.ndarray, ratio: float, budget: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -264,8 +272,8 @@ def traverse(table: pa.Table, a: Alike) -> pa.Table:
     found = [np.zeros(0, dtype=np.int64)]
     for x, y in Forest(token, sizes[row], maps[row], a.fan_out).pairs(short, side, float(a.ratio)):
         low, high = np.minimum(row[x], row[y]), np.maximum(row[x], row[y])
-        found.append(np.unique(low * len(keys) + high))
-    pairs = np.unique(np.concatenate(found))
+        found.append(words.distinct(low * len(keys) + high))
+    pairs = words.distinct(np.concatenate(found))
     return pa.table({"a": pa.array(keys[pairs // len(keys)]), "b": pa.array(keys[pairs % len(keys)])})
 
 
