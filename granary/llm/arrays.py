@@ -14,12 +14,22 @@ BLOCK = 1 << 14
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    raw = pickle.dumps(arrays, protocol=5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """The arrays as one compressed value, without copies of their contents on the way."""
+    parts = []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        held = pa.compress(pa.py_buffer(a), codec="zstd", asbytes=True) if a.nbytes else b""
+        parts.append((a.dtype.str, a.shape, a.nbytes, held))
+    return pickle.dumps(parts, protocol=5)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
+    """The arrays again, for reading."""
+    out = []
+    for kind, shape, size, held in pickle.loads(blob):
+        raw = pa.decompress(held, size, codec="zstd") if size else b""
+        out.append(np.frombuffer(raw, dtype=kind).reshape(shape))
+    return tuple(out)
 
 
 def slot_sums(df: DataFrame, slots_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], slots: int) -> np.ndarray:
