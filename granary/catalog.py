@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions import hashing, text, tokens, vectors
+from granary.functions import text, tokens, vectors
 from granary.operators import generation, grouping, ordering, selection, weights
 from granary.operators.grouping import Grouping
 from granary.operators.selection import Plan
