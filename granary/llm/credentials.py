@@ -62,7 +62,6 @@ PLACEHOLDER = re.compile(
     r"|.*(?:redacted|change[_\-]?me|replace[_\-]?me|placeholder|your[_\-]|[_\-]here\b|not[_\-]?set|masked|\bdummy\b|\bexample\b).*|null|none|nil|undefined|true|false|yes|no|on|off|empty|default|password|secret|token|passwd|string|str|int|optional)\Z"
 )
 CODE = re.compile(r"\A(?:[A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)+|[A-Za-z_$][\w$.]*[(\[].*|@.*|&.*|new)\Z")
-DIGEST = re.compile(r"\A(?:[0-9a-fA-F]{7,128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\Z")
 SPLIT = re.compile(r"[A-ZÀ-ÞА-Я]?[a-zß-ÿа-яё0-9]+|[A-ZÀ-ÞА-Я]+(?![a-zß-ÿа-яё])|[一-鿿぀-ヿ]+")
 #: What every line with a named credential or a login holds a piece of, and what every issued key begins with.
 HINT = re.compile(r"(?i)pass|pwd|secret|key|token|cred|auth|kennwort|clave|contrase|senha|mot.{0,2}de|mdp|парол|密码|パスワード|login|connect|sign.?in|sshpass|mysql|mariadb|psql|curl")

@@ -150,9 +150,6 @@ def pack(sizes: np.ndarray, capacity: int, s: Settings) -> list[list[int]]:
     return [[int(order[k]) for k in b] for b in search.bins if b]
 
 
-PIECE = "doc_id long, part int, first_token int, n_tokens int"
-
-
 def token_counts(df: DataFrame, id: str, text: str, tokenizer: str | None = None) -> DataFrame:
     """(id, n_tokens) of each row with an id and a text that is not empty."""
     path = tokenizer or subwords.vocabulary()
