@@ -6,8 +6,9 @@ lengths better than an uncensored one, the limit stands, and the fit gives the p
 chance that a value of just that length was censored. Endings: over all texts it is counted
 how often each run of last words ends a unit (a sentence, a list item, a block of code) where
 it occurs, in a fixed number of slots; with marks of open code, brackets and word ends these
-rates feed a logistic model, fitted on a bounded sample of the texts themselves, which are cut
-at random places and at true unit ends. A value is cut if the odds of both together say so.
+rates feed a logistic model, fitted on a bounded sample of the distinct texts, which are cut at
+random places and at true unit ends. How many values are cut is estimated for each source from
+all of its rows. A value is cut if the odds of both together say so.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import arrays, words
+from granary.session import cut
 
 ORDERS = (1, 2, 3)
 #: Words left out: the one before the last; the last itself and the one two before it.
@@ -44,13 +46,14 @@ WORDLIKE = re.compile(r"\w")
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: rows that the ending model is fitted on, drawn by hash; least: chars that it needs."""
+    """sample: distinct texts that the ending model is fitted on, drawn by hash; least: chars that it needs; pool: rows at the share of cuts of all sources that each source's share is estimated with."""
 
     sample: int = 10_000
     least: int = 60
     seed: int = 7
     gain: float = 12.0
     threshold: float = 0.5
+    pool: float = 50.0
 
 
 # Lengths
@@ -320,7 +323,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 @dataclass
 class Model:
-    """packed: the counters of all texts; weights: log odds of a cut by the ending; prior: log odds of a cut among unmarked endings."""
+    """packed: the counters of all texts; weights: log odds of a cut by the ending; prior: what makes them odds at even chances."""
 
     packed: bytes
     weights: np.ndarray
@@ -360,9 +363,9 @@ def finished(body: str) -> bool:
     return bool(bare) and bare[-1] in FINAL and not re.search(r"(?:\b(?:e\.g|i\.e|Dr|Prof|vs|approx|Fig|Sec|No|cf|bzw|Nr|Abb|ca|z|p|ej|env|chap|cap))\.\Z", bare)
 
 
-def ending_odds(texts: list[str], model: Model) -> np.ndarray:
-    """Log odds that each text is cut, by its ending alone; -inf for texts that are closed or blank."""
-    odds = np.full(len(texts), -np.inf)
+def ending_odds(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(log odds that each text is cut, by its ending alone, whether the model gave them); -inf for texts that are closed or blank."""
+    odds, learned = np.full(len(texts), -np.inf), np.zeros(len(texts), dtype=bool)
     asked: list[int] = []
     bodies: list[str] = []
     for k, x in enumerate(texts):
@@ -380,33 +383,65 @@ def ending_odds(texts: list[str], model: Model) -> np.ndarray:
             bodies.append(body)
     if asked:
         odds[asked] = endings(bodies, model.counts) @ model.weights + model.prior
-    return odds
+        learned[asked] = True
+    return odds, learned
+
+
+def cut_share(odds: np.ndarray, n: np.ndarray, start: float = 0.3, pool: float = 0.0) -> float:
+    """Share of cuts among ``n`` values of such log odds at even chances (EM), with ``pool`` more values at ``start``."""
+    share, total = start, n.sum() + pool
+    for _ in range(200 if n.sum() else 0):
+        chance = 1 / (1 + np.exp(-np.clip(odds + math.log(share / (1 - share)), -30, 30)))
+        new = float(np.clip((n @ chance + pool * start) / total, 0.01, 0.9))
+        share, moved = new, abs(new - share)
+        if moved < 1e-6:
+            break
+    return share
+
+
+#: Log odds are counted in steps of this part of one.
+STEPS = 10
+
+
+def source_shares(odds: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(source, share): the share of cuts of each source, from all of its rows (source, odds). Only counts by step reach a group."""
+    step = F.round(F.greatest(F.least(F.col("odds"), F.lit(30.0)), F.lit(-30.0)) * STEPS).cast("long")
+    counted = odds.groupBy("source", step.alias("step")).agg(F.count("*").alias("n"))
+    whole = counted.groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").collect()
+    n = np.array([r["n"] for r in whole], dtype=float)
+    overall = cut_share(np.array([r["step"] for r in whole], dtype=float) / STEPS, n) if n.sum() >= 50 else 0.3
+
+    def run(table: pa.Table) -> pa.Table:
+        share = cut_share(table.column("step").to_numpy() / STEPS, table.column("n").to_numpy().astype(float), overall, settings.pool)
+        return pa.table({"source": table.column("source")[:1].cast(pa.string()), "share": pa.array([share])})
+
+    return counted.groupBy("source").applyInArrow(run, "source string, share double")
+
+
+def distinct_sample(texts: DataFrame, settings: Settings) -> list[str]:
+    """The lowest distinct texts by hash. A text counts once however often it stands there."""
+    hashed = texts.where(F.length("text") >= settings.least).select("text", F.xxhash64("text").alias("hash"))
+    bound = hashed.select("hash").distinct().orderBy("hash").limit(settings.sample).agg(F.max("hash").alias("hash")).first()["hash"]
+    if bound is None:
+        return []
+    return [row["text"] for row in hashed.where(F.col("hash") <= bound).distinct().orderBy("hash", "text").limit(settings.sample).collect()]
 
 
 def fit(texts: DataFrame, settings: Settings = Settings()) -> Model:
     """The ending model of all texts (a column ``text``).
 
-    The counters cover every text. The weights are fitted on ``settings.sample`` of them, the
-    lowest by hash; the same rows' own endings give the share of cuts (EM).
+    The counters cover every text. The weights are fitted on ``settings.sample`` distinct ones,
+    the lowest by hash.
     """
     counts = arrays.slot_sums(texts, ending_counts, COUNTERS)
     packed = arrays.pack(counts)
-    drawn = texts.where(F.length("text") >= settings.least).orderBy(F.xxhash64("text"), "text").limit(settings.sample)
-    sample = [row["text"] for row in drawn.collect()]
+    sample = distinct_sample(texts, settings)
     prefixes, labels = examples(sample, settings.seed)
     y = np.array(labels, dtype=float)
     if not 0 < y.sum() < len(y):
-        return Model(packed, np.zeros(1 + 2 * (len(ORDERS) + len(SKIPS)) + 2 + 10), -2.0)
-    x = endings(prefixes, counts)
-    weights = logistic(x, y)
-    held = Model(packed, weights, -math.log(y.mean() / (1 - y.mean())))
-    held.__dict__["counts"] = counts  # the driver has them already
-    own = ending_odds(sample, held)
-    own = own[np.isfinite(own) & (np.abs(own) < 5.9)]
-    share = 0.3
-    for _ in range(50 if len(own) >= 50 else 0):
-        share = float(np.clip(np.mean(1 / (1 + np.exp(-(own + math.log(share / (1 - share)))))), 0.01, 0.9))
-    return Model(packed, weights, held.prior + math.log(share / (1 - share)))
+        return Model(packed, np.zeros(1 + 2 * (len(ORDERS) + len(SKIPS)) + 2 + 10), 0.0)
+    weights = logistic(endings(prefixes, counts), y)
+    return Model(packed, weights, -math.log(y.mean() / (1 - y.mean())))
 
 
 def truncated(df: DataFrame, id: str, text: str, source: str, model: Model, limits: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -418,19 +453,22 @@ def truncated(df: DataFrame, id: str, text: str, source: str, model: Model, limi
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        odds = ending_odds(arrays.strings(batch, "text"), shared.value)
-        return pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("id", "source", "n_chars", "n_bytes")} | {"odds": pa.array(odds)})
+        odds, learned = ending_odds(arrays.strings(batch, "text"), shared.value)
+        return pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("id", "source", "n_chars", "n_bytes")} | {"odds": pa.array(odds), "learned": pa.array(learned)})
 
-    rows = arrays.arrow_map(narrowed(df, id, text, source), run, "id long, source string, n_chars long, n_bytes long, odds double")
+    rows = cut(arrays.arrow_map(narrowed(df, id, text, source), run, "id long, source string, n_chars long, n_bytes long, odds double, learned boolean"))
     by = limits.groupBy("source", "unit", "length").agg(F.max("censored").alias("censored"))
     chars = by.where("unit = 'chars'").select("source", F.col("length").alias("n_chars"), F.col("censored").alias("in_chars"))
     octets = by.where("unit = 'bytes'").select("source", F.col("length").alias("n_bytes"), F.col("censored").alias("in_bytes"))
     joined = rows.join(chars, ["source", "n_chars"], "left").join(octets, ["source", "n_bytes"], "left")
-    censored = F.greatest("in_chars", "in_bytes")
+    known = joined.withColumn("censored", F.greatest("in_chars", "in_bytes"))
+    shares = source_shares(known.where("learned and censored is null").select("source", "odds"), settings)
     held = F.when(F.col("censored") > 0.999, F.lit(0.999)).otherwise(F.col("censored"))  # least() would skip nulls
-    both = F.when(F.col("odds") < -1e30, F.lit(-30.0)).otherwise(F.col("odds") - F.lit(model.prior) + F.coalesce(F.log(held / (1 - held)), F.lit(model.prior)))
+    # a value at a limit has the posterior of its length, any other the share of cuts of its source
+    before = F.coalesce(F.log(held / (1 - held)), F.when(F.col("learned"), F.log(F.col("share") / (1 - F.col("share")))), F.lit(0.0))
+    both = F.when(F.col("odds") < -1e30, F.lit(-30.0)).otherwise(F.col("odds") + before)
     chance = 1 / (1 + F.exp(-F.greatest(F.least(F.col("cut_odds"), F.lit(30.0)), F.lit(-30.0))))
-    return joined.withColumn("censored", censored).withColumn("cut_odds", both).withColumn("cut", chance >= settings.threshold).select("id", "source", "n_chars", "censored", "cut_odds", "cut")
+    return known.join(shares, "source", "left").withColumn("cut_odds", both).withColumn("cut", chance >= settings.threshold).select("id", "source", "n_chars", "censored", "cut_odds", "cut")
 
 
 def narrowed(df: DataFrame, id: str, text: str, source: str) -> DataFrame:

@@ -76,3 +76,19 @@ def test_empty_table(spark):
     model = truncation.fit(df.selectExpr("t AS text"))
     limits = truncation.length_limits(truncation.lengths_of(df, "id", "t", "source"))
     assert truncation.truncated(df, "id", "t", "source", model, limits).count() == 0
+
+
+def test_one_text_in_many_rows_is_drawn_once(spark):
+    rng = random.Random(4)
+    rows = [(text(rng),) for _ in range(300)] + [("The same parcel stands in very many rows of this table and counts once.",)] * 3000
+    df = spark.createDataFrame(rows, "text string")
+    for size in (50, 5000):
+        drawn = truncation.distinct_sample(df, truncation.Settings(sample=size))
+        assert len(drawn) == len(set(drawn)) == min(size, len({r[0] for r in rows if len(r[0]) >= 60}))
+
+
+def test_shares_of_cuts_come_from_all_rows_by_source(spark):
+    rows = [(s, 3.0 if i % 100 < share else -3.0) for s, share in (("many", 70), ("few", 5)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "source string, odds double")
+    found = {r["source"]: r["share"] for r in truncation.source_shares(df).collect()}
+    assert 0.65 < found["many"] < 0.76 and found["few"] < 0.06
