@@ -38,8 +38,10 @@ FINAL = ".!?。！？।؟؛"
 CLOSERS = "\"'”’»)]}）】」』*_"
 OPEN = ",;:([{（「『“„«-–—=+/<&|"
 UNIT_END = re.compile(r"[.!?](?=[\"”»)*]*\s+(?![a-zß-ÿа-я])\S)|[。！？।]|\n(?=\n|```|[-*] |\d+[.)] )")
-#: Endings of texts below this many characters are no evidence: short answers are no sentences.
+#: The last words of texts below this many characters are no evidence: short answers are no sentences.
 SHORT = 25
+#: A full stop that may stand inside a sentence: after a number or a short word.
+INNER_STOP = re.compile(r"(?:\d|\b[^\W\d_]{1,3})\.\Z")
 DANGLING = re.compile(r"\n[ \t]*(?:[-*+#]+|`{1,2}|\d{1,3}\.?)\Z")
 WORDLIKE = re.compile(r"\w")
 
@@ -323,11 +325,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 @dataclass
 class Model:
-    """packed: the counters of all texts; weights: log odds of a cut by the ending; prior: what makes them odds at even chances."""
+    """packed: the counters of all texts; weights: log odds of a cut by the ending; prior: what makes them odds at even chances; closed: log odds of a cut by a final mark, and by a full stop that may stand inside a sentence."""
 
     packed: bytes
     weights: np.ndarray
     prior: float
+    closed: tuple[float, float] = (-6.0, -4.0)
 
     @cached_property
     def counts(self) -> np.ndarray:
@@ -363,28 +366,55 @@ def finished(body: str) -> bool:
     return bool(bare) and bare[-1] in FINAL and not re.search(r"(?:\b(?:e\.g|i\.e|Dr|Prof|vs|approx|Fig|Sec|No|cf|bzw|Nr|Abb|ca|z|p|ej|env|chap|cap))\.\Z", bare)
 
 
-def ending_odds(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(log odds that each text is cut, by its ending alone, whether the model gave them); -inf for texts that are closed or blank."""
-    odds, learned = np.full(len(texts), -np.inf), np.zeros(len(texts), dtype=bool)
+def inner_stop(body: str) -> bool:
+    return bool(INNER_STOP.search(body[-TAIL:].rstrip(CLOSERS)))
+
+
+def closed_odds(texts: list[str], seed: int) -> tuple[float, float]:
+    """Log odds of a cut for texts with a final mark, by how often random places inside a sentence look so (see ``Model``)."""
+    rng = np.random.default_rng(seed)
+    inside, whole, places = [0, 0], [0, 0], 0
+    for x in texts:
+        body = x.rstrip()
+        if finished(body):
+            whole[inner_stop(body)] += 1
+        for place in rng.integers(30, max(31, len(x) - 1), 4):
+            part = x[:place].rstrip()
+            places += 1
+            if part and not part.endswith("```") and finished(part) and not UNIT_END.match(x, len(part.rstrip(CLOSERS)) - 1):
+                inside[inner_stop(part)] += 1
+    plain, stop = (math.log((inside[k] + 0.5) / (places + 1)) - math.log((whole[k] + 0.5) / (len(texts) + 1)) for k in (0, 1))
+    return min(plain, 0.0), min(stop, 0.0)
+
+
+def ending_odds(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log odds that each text is cut, by its ending alone, whether the model gave them, whether they count at a limit only).
+
+    -inf for blank texts. Texts with a final mark, and short ones without a mark of a cut or an
+    open block of code, are cut by a limit or not at all.
+    """
+    odds, learned, bound = np.full(len(texts), -np.inf), np.zeros(len(texts), dtype=bool), np.zeros(len(texts), dtype=bool)
     asked: list[int] = []
     bodies: list[str] = []
     for k, x in enumerate(texts):
         body, marked = open_ending(x)
-        if len(body) < SHORT or not WORDLIKE.search(body):
+        if not WORDLIKE.search(body):
             continue
         if marked:
             odds[k] = 6.0 if not finished(body) else -3.0
         elif finished(body):
-            continue
-        elif body.count("```") & 1 or DANGLING.search(body[-TAIL:]):
+            odds[k], bound[k] = model.closed[inner_stop(body)], True
+        elif body.count("```") & 1 or len(body) >= SHORT and DANGLING.search(body[-TAIL:]):
             odds[k] = 6.0
+        elif len(body) < SHORT:
+            odds[k], bound[k] = 0.0, True
         else:
             asked.append(k)
             bodies.append(body)
     if asked:
         odds[asked] = endings(bodies, model.counts) @ model.weights + model.prior
         learned[asked] = True
-    return odds, learned
+    return odds, learned, bound
 
 
 def cut_share(odds: np.ndarray, n: np.ndarray, start: float = 0.3, pool: float = 0.0) -> float:
@@ -441,7 +471,7 @@ def fit(texts: DataFrame, settings: Settings = Settings()) -> Model:
     if not 0 < y.sum() < len(y):
         return Model(packed, np.zeros(1 + 2 * (len(ORDERS) + len(SKIPS)) + 2 + 10), 0.0)
     weights = logistic(endings(prefixes, counts), y)
-    return Model(packed, weights, -math.log(y.mean() / (1 - y.mean())))
+    return Model(packed, weights, -math.log(y.mean() / (1 - y.mean())), closed_odds(sample, settings.seed))
 
 
 def truncated(df: DataFrame, id: str, text: str, source: str, model: Model, limits: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -453,10 +483,10 @@ def truncated(df: DataFrame, id: str, text: str, source: str, model: Model, limi
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        odds, learned = ending_odds(arrays.strings(batch, "text"), shared.value)
-        return pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("id", "source", "n_chars", "n_bytes")} | {"odds": pa.array(odds), "learned": pa.array(learned)})
+        odds, learned, bound = ending_odds(arrays.strings(batch, "text"), shared.value)
+        return pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("id", "source", "n_chars", "n_bytes")} | {"odds": pa.array(odds), "learned": pa.array(learned), "bound": pa.array(bound)})
 
-    rows = cut(arrays.arrow_map(narrowed(df, id, text, source), run, "id long, source string, n_chars long, n_bytes long, odds double, learned boolean"))
+    rows = cut(arrays.arrow_map(narrowed(df, id, text, source), run, "id long, source string, n_chars long, n_bytes long, odds double, learned boolean, bound boolean"))
     by = limits.groupBy("source", "unit", "length").agg(F.max("censored").alias("censored"))
     chars = by.where("unit = 'chars'").select("source", F.col("length").alias("n_chars"), F.col("censored").alias("in_chars"))
     octets = by.where("unit = 'bytes'").select("source", F.col("length").alias("n_bytes"), F.col("censored").alias("in_bytes"))
@@ -466,7 +496,7 @@ def truncated(df: DataFrame, id: str, text: str, source: str, model: Model, limi
     held = F.when(F.col("censored") > 0.999, F.lit(0.999)).otherwise(F.col("censored"))  # least() would skip nulls
     # a value at a limit has the posterior of its length, any other the share of cuts of its source
     before = F.coalesce(F.log(held / (1 - held)), F.when(F.col("learned"), F.log(F.col("share") / (1 - F.col("share")))), F.lit(0.0))
-    both = F.when(F.col("odds") < -1e30, F.lit(-30.0)).otherwise(F.col("odds") + before)
+    both = F.when((F.col("odds") < -1e30) | (F.col("bound") & F.col("censored").isNull()), F.lit(-30.0)).otherwise(F.col("odds") + before)
     chance = 1 / (1 + F.exp(-F.greatest(F.least(F.col("cut_odds"), F.lit(30.0)), F.lit(-30.0))))
     return known.join(shares, "source", "left").withColumn("cut_odds", both).withColumn("cut", chance >= settings.threshold).select("id", "source", "n_chars", "censored", "cut_odds", "cut")
 

@@ -92,3 +92,12 @@ def test_shares_of_cuts_come_from_all_rows_by_source(spark):
     df = spark.createDataFrame(rows, "source string, odds double")
     found = {r["source"]: r["share"] for r in truncation.source_shares(df).collect()}
     assert 0.65 < found["many"] < 0.76 and found["few"] < 0.06
+
+
+def test_short_texts_and_final_marks_are_cut_by_marks_fences_and_limits(spark):
+    model = truncation.Model(truncation.arrays.pack(np.zeros(truncation.COUNTERS, dtype=np.int32)), np.zeros(1 + 10 + 2 + 10), 0.0)
+    data = [(1, "这个函数读取 [truncated]", "a"), (2, "```python\nx = (1", "a"), (3, "O(1)", "a"), (4, "x" * 10 + " y" * 5, "b"), (5, "这个函数读取文件然后返回列表中的每一个值", "b")]
+    data += [(6, "It holds since the parcel is version 3.", "c"), (7, "It holds since the parcel is version 3.", "d"), (8, "It holds because the parcel is garden.", "e"), (9, "Fine\n3", "a")]
+    df = spark.createDataFrame(data, "id long, t string, source string")
+    limits = spark.createDataFrame([("b", "chars", 20, 0.997), ("c", "chars", 39, 0.997), ("e", "chars", 38, 0.997)], "source string, unit string, length long, censored double")
+    assert {r["id"] for r in truncation.truncated(df, "id", "t", "source", model, limits).where("cut").collect()} == {1, 2, 4, 5, 6}
