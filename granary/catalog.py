@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,14 @@ from granary.operators.selection import Plan
 from granary.plans import pipeline
 from granary.session import scratch
 from granary.sources import jsonl
+from granary.sources.registry import FAMILIES, Decoding
 from granary.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Folder of the public vocabulary files, under the same path on every executor.
+TOKENIZERS = os.environ.get("GRANARY_TOKENIZERS", "/opt/tokenizers")
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -95,10 +100,14 @@ def add_selections() -> None:
 INTERLEAVED = "row_number() OVER (ORDER BY slot, group_no) - 1"
 
 
+def closest_left_out(spark: SparkSession, d: str, ratio: int) -> DataFrame:
+    kept = selected(spark, d, Plan(rule="close", ratio=ratio))
+    return ordering.ordered(kept, "group_no", "interleaved", "row_id", SEED).select("row_id", "group_no", "slot", "pos", "dist")
+
+
 @query(select_sql("close", 75) + f" SELECT row_id, group_no, slot, {INTERLEAVED} AS pos, dist FROM s")
 def select_close(spark: SparkSession, d: str) -> DataFrame:
-    kept = selected(spark, d, Plan(rule="close", ratio=75))
-    return ordering.ordered(kept, "group_no", "interleaved", "row_id", SEED).select("row_id", "group_no", "slot", "pos", "dist")
+    return closest_left_out(spark, d, 75)
 
 
 NORM = "sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in features]))"
@@ -129,15 +138,38 @@ def oversample_uniform(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"WITH {R}, n AS (SELECT count(*) AS n FROM r GROUP BY group_no) SELECT count(*) AS n_groups, sum(n)::BIGINT AS n_rows, min(n) AS smallest, max(n) AS largest, (min(n) * 75 // 100)::BIGINT AS per_group, (count(*) * (min(n) * 75 // 100))::BIGINT AS kept, (sum(n) - count(*) * (min(n) * 75 // 100))::BIGINT AS pruned FROM n"
 )
-def cluster_diag(spark: SparkSession, d: str) -> DataFrame:
+def group_diag(spark: SparkSession, d: str) -> DataFrame:
     return selection.diagnostics(table(spark, d, "row_features").where("dist IS NOT NULL"), "group_no", Plan(ratio=75))
 
 
-@query()
+def greedy_sql(steps: str, where: str = "true") -> str:
+    """k(row_id, group_no, step): the greedy choice; a round takes the best row left of each group and brings the others' distances up to date."""
+    apart = "list_sum([(a[1] - a[2]) * (a[1] - a[2]) for a in list_zip(v, taken_v)])"
+    best = "PARTITION BY group_no ORDER BY step IS NOT NULL, round(score, 6) DESC, row_id"
+    return f"""WITH RECURSIVE v AS (SELECT row_id, group_no, [x::DOUBLE for x in features] AS v FROM row_features WHERE group_no IS NOT NULL AND features IS NOT NULL AND {where}),
+    m AS ({steps}),
+    k AS (SELECT 0 AS turn, row_id, group_no, v, 'Infinity'::DOUBLE AS least, list_sum([x * x for x in v]) AS score, NULL::BIGINT AS step FROM v
+    UNION ALL SELECT turn + 1, row_id, group_no, v, least(least, {apart}), least(least, {apart}), CASE WHEN step IS NULL AND row_id = taken THEN turn + 1 ELSE step END
+    FROM (SELECT k.*, first_value(row_id) OVER w AS taken, first_value(v) OVER w AS taken_v FROM k, m WHERE turn < m.m WINDOW w AS ({best})))"""
+
+
+@query(greedy_sql("SELECT 10 AS m") + " SELECT row_id, group_no, step FROM k WHERE turn = 10 AND step IS NOT NULL")
 def kcenter_select(spark: SparkSession, d: str) -> DataFrame:
     return selection.farthest_first(table(spark, d, "row_features"), "row_id", "group_no", "features", 10)
 
 
+@query(
+    greedy_sql("SELECT min(n) * 25 // 100 AS m FROM (SELECT count(*) AS n FROM v GROUP BY group_no)", "dist IS NOT NULL")
+    + f""", {slot_sql("SELECT row_id, group_no FROM k, m WHERE turn = m.m AND step IS NOT NULL")}
+    SELECT row_id, group_no, slot, row_number() OVER (ORDER BY md5(concat_ws(':', {SEED}, 'order', row_id)), row_id, slot) - 1 AS pos FROM s"""
+)
+def select_badge(spark: SparkSession, d: str) -> DataFrame:
+    """The greedy choice as a rule of the selection; its order is always a shuffle of all rows."""
+    rows = table(spark, d, "row_features").where("features IS NOT NULL").select("row_id", "group_no", "dist", "features")
+    kept = selection.selected(rows, "row_id", "group_no", "dist", Plan(rule="badge", ratio=25), vector="features")
+    return ordering.ordered(kept, "group_no", "rand", "row_id", SEED).select("row_id", "group_no", "slot", "pos")
+
+
 # Weights
 
 SIZES = "n AS (SELECT group_no, count(*) AS n FROM row_features WHERE group_no IS NOT NULL GROUP BY group_no)"
@@ -162,6 +194,12 @@ def rank_weights_unweighted(spark: SparkSession, d: str) -> DataFrame:
     return weights.rank_weights(sizes(spark, d), "group_no", False)
 
 
+@query(select_sql("rand", 75).replace("WHERE rk <= k", "WHERE true") + " SELECT row_id, group_no, 1.0::DOUBLE AS row_weight FROM s")
+def row_weights_unpruned(spark: SparkSession, d: str) -> DataFrame:
+    """Without pruning all rows weigh the same, whatever the mode."""
+    return weights.row_weights(selected(spark, d, Plan(rule="none")), sizes(spark, d), "group_no", "inv", rule="none").select("row_id", "group_no", "row_weight")
+
+
 def add_row_weights() -> None:
     forms = {"inv": "1 / share", "sqrt_inv": "1 / sqrt(share)", "prop": "share", "none": "1.0"}
     for mode, form in forms.items():
@@ -220,7 +258,7 @@ def shard_by_worker(spark: SparkSession, d: str) -> DataFrame:
     return ordering.shard(interleaved(spark, d), 8, 3).select("row_id", "pos")
 
 
-@query(f"{POS} SELECT row_id, pos FROM o WHERE pos % 8 = 7 UNION ALL SELECT row_id, pos FROM o WHERE pos = (SELECT count(*) - 1 FROM o) AND (SELECT count(*) FROM o) % 8 BETWEEN 1 AND 7")
+@query(f"{POS} SELECT row_id, pos FROM o WHERE pos % 8 = 7 UNION ALL SELECT row_id, pos FROM o WHERE pos = (SELECT max(pos) FROM o WHERE pos % 8 = 7) AND (SELECT count(*) FROM o) % 8 BETWEEN 1 AND 7")
 def shard_padded(spark: SparkSession, d: str) -> DataFrame:
     return ordering.shard(interleaved(spark, d), 8, 7, drop_last=False).select("row_id", "pos")
 
@@ -255,15 +293,17 @@ def sampler_last_apart(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH t AS (SELECT row_id, len(input_ids) AS size FROM tokenized_rows), i AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', {SEED}, 'deal', row_id)), row_id) - 1 AS i FROM t),
-    p AS (SELECT row_id, size, CASE WHEN i % 4 < 1 THEN 0 ELSE 1 END AS part FROM i),
-    l AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY size DESC, row_id) - 1 AS rk, count(*) OVER (PARTITION BY part) AS n FROM p),
-    b AS (SELECT *, rk // 32 AS block FROM l WHERE rk < n // 8 * 8)
-    SELECT row_id, part, row_number() OVER (PARTITION BY part ORDER BY md5(concat_ws(':', {SEED}, part, block)), block, md5(concat_ws(':', {SEED}, 'block', row_id)), row_id) - 1 AS pos FROM b"""
+    f"""WITH t AS (SELECT row_id, len(input_ids) AS size, row_number() OVER (ORDER BY row_id) - 1 AS i FROM tokenized_rows), n AS (SELECT count(*) AS n FROM t),
+    g AS (SELECT *, i % 4 AS w, CASE WHEN i % 4 < 1 THEN 0 ELSE 1 END AS part, CASE WHEN i % 4 < 1 THEN 1 ELSE 3 END AS wide, CASE WHEN i % 4 < 1 THEN 0 ELSE 1 END AS first FROM t),
+    r AS (SELECT *, (row_number() OVER (PARTITION BY part ORDER BY size DESC, w, i) - 1) // wide AS block FROM g),
+    b AS (SELECT r.* FROM r, n WHERE block < n // 4),
+    o AS (SELECT block, row_number() OVER (ORDER BY md5(concat_ws(':', {SEED}, 'blocks', block)), block) - 1 AS turn FROM (SELECT DISTINCT block FROM b)),
+    q AS (SELECT b.*, turn * wide + row_number() OVER (PARTITION BY part, b.block ORDER BY md5(concat_ws(':', {SEED}, b.block, row_id)), row_id) - 1 AS q FROM b JOIN o ON o.block = b.block)
+    SELECT row_id, part, (q // (wide * 8))::BIGINT AS batch_no, (q // (wide * 8) * 32 + first * 8 + q % (wide * 8))::BIGINT AS pos FROM q, n WHERE q // (wide * 8) < n // 32"""
 )
 def sampler_ratio(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "tokenized_rows").select("row_id", F.size("input_ids").alias("size"))
-    return ordering.ratio_batches(rows, "row_id", "size", [1, 3], 8, 32, SEED).select("row_id", "part", "pos")
+    return ordering.ratio_batches(rows, "row_id", "size", [1, 3], 8, SEED).select("row_id", "part", "batch_no", "pos")
 
 
 @query(
@@ -280,9 +320,10 @@ def train_test_split(spark: SparkSession, d: str) -> DataFrame:
     return ordering.split(table(spark, d, "row_features").select("row_id"), "row_id", 0.1, SEED)
 
 
-@query(f"{POS} SELECT row_id, pos FROM o WHERE row_id IN (SELECT row_id FROM tokenized_rows WHERE exceeding_length)")
+@query(f"{POS}, a AS (SELECT row_id, row_number() OVER (ORDER BY pos) - 1 AS pos FROM o WHERE row_id IN (SELECT row_id FROM tokenized_rows WHERE exceeding_length)) SELECT row_id, pos, pos % 8 AS worker FROM a")
 def active_subset(spark: SparkSession, d: str) -> DataFrame:
-    return ordering.active(interleaved(spark, d), table(spark, d, "tokenized_rows").where("exceeding_length"), "row_id").select("row_id", "pos")
+    subset = table(spark, d, "tokenized_rows").where("exceeding_length")
+    return ordering.active(interleaved(spark, d), subset, "row_id").select("row_id", "pos", ordering.worker("pos", 8).alias("worker"))
 
 
 @query(f"{POS} SELECT o.pos, o.row_id, len(t.input_ids)::INT AS n_tokens FROM o JOIN tokenized_rows t ON t.row_id = o.row_id")
@@ -334,11 +375,11 @@ def first_centers(spark: SparkSession, d: str) -> list[list[float]]:
 
 @query(
     f"""WITH {E}, {C}, q AS (SELECT x.vec_id, c.label, round(sum((x.value - c.m) * (x.value - c.m)), 6) AS dist FROM x JOIN c ON c.dim = x.dim GROUP BY x.vec_id, c.label)
-    SELECT vec_id, choice, label AS cluster, dist FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, label) AS choice FROM q) WHERE choice <= 3"""
+    SELECT vec_id, choice, label AS group_no, dist FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, label) AS choice FROM q) WHERE choice <= 3"""
 )
 def topk_centers(spark: SparkSession, d: str) -> DataFrame:
     near = grouping.nearest_centers(embeddings(spark, d), "vec_id", "embedding", first_centers(spark, d), 3)
-    return near.select("vec_id", F.col("choice").cast("long").alias("choice"), "cluster", "dist")
+    return near.select("vec_id", F.col("choice").cast("long").alias("choice"), "group_no", "dist")
 
 
 @query(f"WITH {E}, {C}, s AS (SELECT label, dim, sum(value) AS s, sum(value * value) AS q FROM x GROUP BY label, dim) SELECT label, round(sum(q) / (sum(s * s) + 1e-12), 9) AS diversity FROM s GROUP BY label")
@@ -398,7 +439,22 @@ def weighted_group_mean(spark: SparkSession, d: str) -> DataFrame:
 SKEWED = "CASE WHEN label < 6 THEN 0 ELSE label - 5 END"
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {E}, g AS (SELECT vec_id, {SKEWED} AS c, unnest(v) AS value, generate_subscripts(v, 1) AS dim, label FROM e), m AS (SELECT c, dim, avg(value) AS m FROM g GROUP BY c, dim),
+    q AS (SELECT g.vec_id, m.c, round(sum((g.value - m.m) * (g.value - m.m)), 6) AS dist FROM g JOIN m ON m.dim = g.dim GROUP BY g.vec_id, m.c),
+    n AS (SELECT count(DISTINCT c) AS k, ceil((SELECT count(*) FROM embeddings) / count(DISTINCT c))::BIGINT AS cap FROM m),
+    o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, c) AS choice FROM q),
+    p AS (SELECT *, row_number() OVER (ORDER BY dist, vec_id, choice) AS i FROM o WHERE choice <= 2),
+    f AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS placed, [0::BIGINT for x in range(k)] AS held, NULL::BIGINT AS vec_id, NULL::BIGINT AS c, NULL::DOUBLE AS dist FROM n
+      UNION ALL SELECT p.i, CASE WHEN y THEN list_append(placed, z.vec_id) ELSE placed END, CASE WHEN y THEN [CASE WHEN j - 1 = z.c THEN held[j] + 1 ELSE held[j] END for j in range(1, k + 1)] ELSE held END, CASE WHEN y THEN z.vec_id END, z.c, z.dist
+      FROM (SELECT p.*, placed, held, k, NOT list_contains(placed, p.vec_id) AND held[p.c + 1] < cap AS y FROM f JOIN p ON p.i = f.i + 1, n) z JOIN p ON p.i = z.i),
+    done AS (SELECT vec_id, c, dist FROM f WHERE vec_id IS NOT NULL), ends AS (SELECT held FROM f ORDER BY i DESC LIMIT 1),
+    l AS (SELECT vec_id, list(c ORDER BY choice) AS cs, list(dist ORDER BY choice) AS ds, row_number() OVER (ORDER BY vec_id) AS i FROM o WHERE vec_id NOT IN (SELECT vec_id FROM done) GROUP BY vec_id),
+    h AS (SELECT 0::BIGINT AS i, held, NULL::BIGINT AS vec_id, NULL::BIGINT AS c, NULL::DOUBLE AS dist FROM ends
+      UNION ALL SELECT x.i, [CASE WHEN j - 1 = x.t THEN held[j] + 1 ELSE held[j] END for j in range(1, k + 1)], x.vec_id, x.t, x.ds[list_position(x.cs, x.t)]
+      FROM (SELECT l.*, held, k, [a for a in cs if held[a + 1] < cap][1] AS t FROM h JOIN l ON l.i = h.i + 1, n) x)
+    SELECT vec_id, c::INT AS group_no, dist FROM done UNION ALL SELECT vec_id, c::INT, dist FROM h WHERE vec_id IS NOT NULL"""
+)
 def soft_cap_assign(spark: SparkSession, d: str) -> DataFrame:
     rows = embeddings(spark, d)
     centers = [list(r["center"]) for r in vectors.centroids(rows.withColumn("g", F.expr(SKEWED)), "embedding", "g").orderBy("g").collect()]
@@ -438,16 +494,23 @@ def extract_snippet(spark: SparkSession, d: str) -> DataFrame:
     return generation.snippets(table(spark, d, "starcoderdata"), "raw_index", "content")
 
 
-MARKED = "'[Problem Description]' || chr(10) || problem || chr(10) || '[Solution] here' || chr(10) || coalesce(solution, '')"
+BREAKS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}"
+PARTED = f"""w AS (SELECT seed_index, openai_fingerprint, '[Problem Description]' || chr(10) || problem || chr(10) || '[Solution] here' || chr(10) || coalesce(solution, '') AS t FROM generated_rows WHERE problem IS NOT NULL),
+    l AS (SELECT *, regexp_extract_all(t, '[^{BREAKS}]*(?:\\r\\n|[{BREAKS}])|[^{BREAKS}]+$') AS l FROM w),
+    m AS (SELECT *, list_position([contains(lower(x), '[problem description]') for x in l], true) AS p, list_position([contains(lower(x), '[solution]') for x in l], true) AS s FROM l),
+    d AS (SELECT seed_index, openai_fingerprint, p > 0 AND s > p AS ok, regexp_replace(array_to_string(l[p + 1:s - 1], ''), '^\\s+|\\s+$', '', 'g') AS problem, regexp_replace(array_to_string(l[s + 1:], ''), '^\\s+|\\s+$', '', 'g') AS solution FROM m)"""
 
 
-@query(
-    "SELECT DISTINCT seed_index, regexp_replace(problem, '^\\s+|\\s+$', '', 'g') AS problem, regexp_replace(coalesce(solution, ''), '^\\s+|\\s+$', '', 'g') AS solution FROM generated_rows WHERE problem IS NOT NULL AND NOT contains(lower(problem), '[solution]')"
-)
+def marked_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Problems and solutions between their marks; some of them hold a mark of their own."""
+    answer = F.concat(F.lit("[Problem Description]\n"), "problem", F.lit("\n[Solution] here\n"), F.coalesce("solution", F.lit("")))
+    return table(spark, d, "generated_rows").where("problem IS NOT NULL").withColumn("answer", answer)
+
+
+@query(f"WITH {PARTED} SELECT DISTINCT seed_index, problem, solution FROM d WHERE ok")
 def parse_sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "generated_rows").where("problem IS NOT NULL AND NOT contains(lower(problem), '[solution]')")
-    whole = F.concat(F.lit("[Problem Description]\n"), "problem", F.lit("\n[Solution] here\n"), F.coalesce("solution", F.lit("")))
-    return rows.select("seed_index", text.sections(whole).alias("s")).select("seed_index", "s.problem", "s.solution").distinct()
+    rows = marked_answers(spark, d).select("seed_index", text.sections(F.col("answer")).alias("s"))
+    return rows.where("s IS NOT NULL").select("seed_index", "s.problem", "s.solution").distinct()
 
 
 @query("SELECT DISTINCT seed_index, substr(sha256(concat(seed_index::VARCHAR, coalesce(openai_fingerprint, 'None'), coalesce(problem, 'None'))), 1, 12) AS print FROM generated_rows")
@@ -477,10 +540,12 @@ def scan_prefix(spark: SparkSession, d: str) -> DataFrame:
     return jsonl.prefix(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 100)
 
 
-@query("SELECT seed_index FROM seed_snippets WHERE seed_index > coalesce((SELECT max(seed_index) FROM generated_rows WHERE openai_fingerprint IS NOT NULL AND seed_index < 200), -1)")
+@query("SELECT seed_index FROM seed_snippets WHERE seed_index > coalesce((SELECT max(seed_index) FROM generated_rows WHERE seed_index <= (SELECT max(seed_index) // 2 FROM seed_snippets)), -1)")
 def resume_positional(spark: SparkSession, d: str) -> DataFrame:
-    written = table(spark, d, "generated_rows").where("openai_fingerprint IS NOT NULL AND seed_index < 200")
-    return jsonl.remaining_by_position(table(spark, d, "seed_snippets").select("seed_index"), written, "seed_index")
+    """What is left after a run that stopped in the middle of the seeds."""
+    seeds = table(spark, d, "seed_snippets").select("seed_index")
+    last = seeds.agg(F.max("seed_index")).first()[0] or 0
+    return jsonl.remaining_by_position(seeds, table(spark, d, "generated_rows").where(F.col("seed_index") <= last // 2), "seed_index")
 
 
 @query("SELECT seed_index FROM seed_snippets WHERE seed_index NOT IN (SELECT seed_index FROM generated_rows)")
@@ -520,17 +585,62 @@ def chat_messages(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("raw_index", F.col("m")[0]["role"].alias("first_role"), F.col("m")[1]["role"].alias("second_role"), F.col("m")[1]["content"].alias("seed"))
 
 
-@query("SELECT seed_index, '<fim_prefix>' || seed || '<fim_suffix>' || '<fim_middle>' AS prompt FROM seed_snippets")
+HALVES = "h AS (SELECT seed_index, substr(seed, 1, length(seed) // 2) AS a, substr(seed, length(seed) // 2 + 1) AS b FROM seed_snippets)"
+
+
+@query(
+    f"WITH {HALVES} SELECT seed_index, CASE seed_index % 3 WHEN 0 THEN '<fim_prefix>' || a || '<fim_suffix>' || b || '<fim_middle>' WHEN 1 THEN '▁<PRE>' || a || '▁<SUF>' || b || '▁<MID>' ELSE '<｜fim▁begin｜>' || a || '<｜fim▁hole｜>' || b || '<｜fim▁end｜>' END AS prompt FROM h"
+)
 def infilling_prompt(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "seed_snippets").select("seed_index", generation.infilling(F.lit("starcoder"), F.col("seed"), F.lit("")).alias("prompt"))
+    family = F.element_at(F.array(F.lit("starcoder"), F.lit("codellama"), F.lit("deepseek")), (F.col("seed_index") % 3 + 1).cast("int"))
+    half = F.floor(F.length("seed") / 2).cast("int")
+    return table(spark, d, "seed_snippets").select("seed_index", generation.infilling(family, F.substring("seed", F.lit(1), half), F.substring("seed", half + 1, F.length("seed"))).alias("prompt"))
 
 
-@query("SELECT DISTINCT seed_index FROM generated_rows WHERE openai_fingerprint IS NOT NULL AND problem IS NOT NULL AND length(regexp_replace(problem, '^\\s+|\\s+$', '', 'g')) > 0 AND length(regexp_replace(coalesce(solution, ''), '^\\s+|\\s+$', '', 'g')) > 0 AND NOT contains(lower(problem), '[solution]')")
+@query(f"WITH {PARTED} SELECT DISTINCT seed_index FROM d WHERE ok AND openai_fingerprint IS NOT NULL AND length(problem) > 0 AND length(solution) > 0")
 def accepted_generations(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "generated_rows").where("problem IS NOT NULL AND NOT contains(lower(problem), '[solution]')")
-    answer = F.concat(F.lit("[Problem Description]\n"), "problem", F.lit("\n[Solution]\n"), F.coalesce("solution", F.lit("")))
-    named = rows.select("seed_index", answer.alias("answer"), F.when(F.col("openai_fingerprint").isNotNull(), "stop").otherwise("length").alias("finish_reason"))
-    return generation.accepted(named).select("seed_index").distinct()
+    reason = F.when(F.col("openai_fingerprint").isNotNull(), "stop").otherwise("length")
+    return generation.accepted(marked_answers(spark, d).select("seed_index", "answer", reason.alias("finish_reason"))).select("seed_index").distinct()
+
+
+def measured_answers(texts: list[str], most: list[int]) -> list[tuple[str, str]]:
+    """A stand-in generator: tells how long its prompt is and how much room it had."""
+    return [(f"{len(x)}/{n}", "stop" if n > 100 else "length") for x, n in zip(texts, most, strict=True)]
+
+
+@query(
+    "WITH t AS (SELECT seed_index, length(seed) AS size, len([w for w in regexp_split_to_array(seed, '\\s+') if w <> '']) AS n FROM seed_snippets WHERE seed IS NOT NULL), r AS (SELECT *, least(8192 - n - 1, 200, 8300 - n - 1) AS m FROM t) SELECT seed_index, size || '/' || m AS answer, CASE WHEN m > 100 THEN 'stop' ELSE 'length' END AS finish_reason FROM r"
+)
+def generated_answers(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "seed_snippets").where("seed IS NOT NULL").select("seed_index", "seed")
+    return generation.generated(rows, "seed", measured_answers, FAMILIES["starcoder"].context, Decoding(max_new_tokens=200, max_length=8300)).drop("seed")
+
+
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
+def token_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as byte pairs of a public vocabulary, with a begin and an end id, and back."""
+    path, special = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", tokens.Special(begin=1_000_000, end=1_000_001)
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    ids = tokens.encoded(rows, "text", "ids", tokens.byte_pairs(path), begin=special.begin, end=special.end)
+    return tokens.decoded(ids.select("doc_id", "ids"), "ids", "back", tokens.from_byte_pairs(path), (special.begin, special.end)).select("doc_id", F.md5("back").alias("text_md5"))
+
+
+@query(
+    "WITH c AS (SELECT doc_id // 32 AS chunk, min(doc_id) AS a, max(doc_id) AS b, max(fetched_at) AS f FROM documents GROUP BY 1) SELECT 'data-docs-' || substr(sha256(chunk::VARCHAR), 1, 5) || '-' || a || '_' || b || coalesce('-' || strftime(f, '%Y%m%d_%H%M%S'), '') || '.jsonl' AS name FROM c"
+)
+def chunk_files(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "documents").groupBy(text.chunk_of(F.col("doc_id"), 32).alias("chunk")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("fetched_at").alias("f"))
+    return chunks.select(jsonl.output_names("docs", text.fingerprint(F.col("chunk"), length=5), F.col("a"), F.col("b"), text.stamp(F.col("f"))).alias("name"))
+
+
+@query("SELECT '{\"raw_index\":' || raw_index || ',\"seed_index\":' || seed_index || coalesce(',\"openai_fingerprint\":\"' || openai_fingerprint || '\"', '') || '}' AS line FROM generated_rows")
+def record_lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "generated_rows").select(text.record_json("raw_index", "seed_index", "openai_fingerprint").alias("line"))
+
+
+@query("SELECT event_id, ceil(value)::INT AS epochs FROM events")
+def whole_epochs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", text.whole_epochs(F.col("value")).alias("epochs"))
 
 
 @query("SELECT (doc_id // 32)::BIGINT AS chunk, count(*) AS n FROM documents GROUP BY 1")
@@ -606,12 +716,33 @@ def events_by_window(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
+#: Events after this moment, and every tenth one of those before, reach the stream late, in its second run.
+LATE = "TIMESTAMP '2024-01-08 00:00:00'"
+SECOND = f"(ts >= {LATE} OR event_id % 10 = 0)"
+
+
+@query(
+    f"""WITH a AS (SELECT *, NOT {SECOND} AS first, time_bucket(INTERVAL '1 hour', ts) AS start FROM events WHERE ts IS NOT NULL), w AS (SELECT max(ts) FILTER (first) - INTERVAL '3 hours' AS one, max(ts) - INTERVAL '3 hours' AS two FROM a)
+    SELECT start, event_type, count(*) AS n FROM a, w WHERE (first OR one IS NULL OR start + INTERVAL '1 hour' > one) AND start + INTERVAL '1 hour' <= two GROUP BY 1, 2"""
+)
+def late_events(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of a stream that is stopped and goes on: rows that are later than the watermark of the first run are left out."""
+    source, path, state = scratch(spark, "events"), scratch(spark, "windows"), scratch(spark, "windows-state")
+    rows = table(spark, d, "events").where("ts IS NOT NULL").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    for part in (rows.where(f"NOT {SECOND}"), rows.where(SECOND)):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        windows = scoring.sizes_by_window(stream, "ts", "1 hour", "3 hours", "event_type")
+        scoring.into_jsonl(windows.select(F.col("window.start").alias("start"), "event_type", "n"), path, state).awaitTermination()
+    return jsonl.read(spark, path, "start TIMESTAMP, event_type STRING, n LONG").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query(
     f"""WITH {E}, {C}, q AS (SELECT x.vec_id, c.label, round(sum((x.value - c.m) * (x.value - c.m)), 6) AS dist FROM x JOIN c ON c.dim = x.dim GROUP BY x.vec_id, c.label)
-    SELECT vec_id, label AS cluster, dist FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, label) AS k FROM q) WHERE k = 1"""
+    SELECT vec_id, label AS group_no, dist FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, label) AS k FROM q) WHERE k = 1"""
 )
 def score_rows(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.scored(embeddings(spark, d), "embedding", first_centers(spark, d)).select("vec_id", "cluster", "dist")
+    return scoring.scored(embeddings(spark, d), "embedding", first_centers(spark, d)).select("vec_id", "group_no", "dist")
 
 
 add_selections()

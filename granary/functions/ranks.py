@@ -1,8 +1,9 @@
-"""Ranks inside groups of any size: no group is one task.
+"""Places in orders of any size: no group and no order is one task.
 
-A group's order is cut into ranges, the sizes of the ranges are counted first (one row per
-group and range), and a row's rank is what lies ahead of its range plus its place in it.
-Ranges that a caller does not need can be left out before any row is moved.
+Rows are dealt to range partitions of the whole order and sorted there; the sizes of the
+partitions, one row each, say what lies ahead of each of them. Ties of the leading columns do
+no harm as long as the order ends with a column that tells rows apart: ranges are cut between
+whole sort keys, so that a value or a group that holds most rows is spread over many ranges.
 """
 
 from __future__ import annotations
@@ -10,34 +11,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from granary.session import cut, shuffle_width
 
+#: Bits of monotonically_increasing_id() that number the rows of a partition.
+ROW_BITS = 33
 
-def by_key(df: DataFrame, key: str) -> DataFrame:
-    """Ranges of a hash column: its first two hex digits."""
-    return df.withColumn("_range", F.conv(F.substring(key, 1, 2), 16, 10).cast("int"))
 
+def positions(df: DataFrame, *order: Column | str, name: str = "pos") -> DataFrame:
+    """``df`` with its place from 0 in the order.
 
-def by_value(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Ranges of a number: about equal shares of each group. Where exactly they are cut has no influence on ranks."""
-    shares = [k / RANGES for k in range(1, RANGES)]
-    cuts = df.groupBy(group).agg(F.percentile_approx(value, shares, 1000).alias("_cuts"))
-    return df.join(cuts, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    The sorted rows are written once to the checkpoint folder, so that their places do not
+    change when an executor is lost; what is broadcast is one number per partition.
+    """
+    ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order)
+    held = cut(ranged.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", ROW_BITS))
+    sizes = held.groupBy("_part").agg(F.count("*").alias("_rows"))
+    ahead = sizes.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_ahead"))
+    place = F.col("_ahead") + F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return held.join(F.broadcast(ahead), "_part").withColumn(name, place.cast("long")).drop("_part", "_at", "_ahead")
 
 
-def placed(df: DataFrame, group: str) -> DataFrame:
-    """``df`` (with ``_range``) with ``_ahead`` and ``_size`` of the row's range and ``_n`` of its group."""
-    sizes = df.groupBy(group, "_range").agg(F.count("*").alias("_size"))
-    inside = Window.partitionBy(group)
-    ahead = F.sum("_size").over(inside.orderBy("_range")) - F.col("_size")
-    return df.join(sizes.select(group, "_range", "_size", ahead.alias("_ahead"), F.sum("_size").over(inside).alias("_n")), [group, "_range"])
-
-
-def ranked(df: DataFrame, group: str, *order: Column | str, name: str = "_rank") -> DataFrame:
-    """``df`` (from ``placed``) with the rank from 1 in its group; the order must agree with the ranges."""
-    place = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
-    return df.withColumn(name, (F.col("_ahead") + place).cast("long"))
-
-
-def cleaned(df: DataFrame) -> DataFrame:
-    return df.drop("_range", "_ahead", "_size", "_n", "_rank", "_value", "_key")
+def in_groups(df: DataFrame, group: str, *order: Column | str, name: str = "_rank") -> DataFrame:
+    """``df`` with its rank from 1 in its group, and ``_n``, the size of the group. Rows without a group are one group."""
+    placed = positions(df, group, *order, name="_place")
+    groups = placed.groupBy(group).agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).withColumnRenamed(group, "_group")
+    return placed.join(groups, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col("_place") - F.col("_first") + 1).drop("_group", "_place", "_first")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,14 +39,28 @@ def first_line_with(found: Column, mark: str) -> Column:
     return F.array_position(F.transform(found, lambda x: F.contains(F.lower(x), F.lit(mark))), True)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where the value is computed once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def sections(text: Column) -> Column:
-    """struct(problem, solution): the lines after each mark's line; null unless both marks are there in this order."""
-    found = lines(text)
-    problem = first_line_with(found, PROBLEM_MARKS[0])
-    solution = first_line_with(found, SOLUTION_MARK)
-    part = lambda first, last: strip(F.array_join(F.slice(found, (first + 1).cast("int"), F.greatest(last - first, F.lit(0)).cast("int")), ""))
-    size = F.size(found).cast("long")
-    return F.when((problem > 0) & (solution > problem), F.struct(part(problem, solution - 1).alias("problem"), part(solution, size).alias("solution")))
+    """struct(problem, solution): the lines after each mark's line; null unless both marks are there in this order.
+
+    Only the first line with each mark counts, so a later one belongs to the solution.
+    """
+
+    def part(found: Column, first: Column, last: Column) -> Column:
+        return strip(F.array_join(F.slice(found, (first + 1).cast("int"), F.greatest(last - first, F.lit(0)).cast("int")), ""))
+
+    def marked(found: Column) -> Column:
+        return F.struct(found.alias("l"), first_line_with(found, PROBLEM_MARKS[0]).alias("p"), first_line_with(found, SOLUTION_MARK).alias("s"))
+
+    def parts(m: Column) -> Column:
+        both = F.struct(part(m["l"], m["p"], m["s"] - 1).alias("problem"), part(m["l"], m["s"], F.size(m["l"]).cast("long")).alias("solution"))
+        return F.when((m["p"] > 0) & (m["s"] > m["p"]), both)
+
+    return bound(bound(lines(text), marked), parts)
 
 
 def fingerprint(*parts: Column, length: int | None = None) -> Column:
@@ -63,8 +78,9 @@ def chunk_of(index: Column, size: int) -> Column:
     return F.floor(index / size)
 
 
-def stamp() -> Column:
-    return F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")
+def stamp(at: Column | None = None) -> Column:
+    """The time as it stands in file names; without one the present."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd_HHmmss")
 
 
 def whole_epochs(epochs: Column) -> Column:

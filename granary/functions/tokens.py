@@ -13,6 +13,7 @@ from granary.functions import text
 
 IGNORED = -100
 Encode = Callable[[list[str]], list[list[int]]]
+Decode = Callable[[list[list[int]]], list[str]]
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,16 @@ def byte_pairs(path: str) -> Encode:
     return encode
 
 
+def from_byte_pairs(path: str) -> Decode:
+    """Texts of the ids of ``byte_pairs``."""
+
+    def decode(ids: list[list[int]]) -> list[str]:
+        encoding = loaded(path)
+        return [encoding.decode(x) for x in ids]
+
+    return decode
+
+
 _LOADED: dict[str, object] = {}
 
 
@@ -61,15 +72,39 @@ def loaded(path: str):
     return _LOADED[path]
 
 
-def encoded(df: DataFrame, column: str, name: str, encode: Encode = word_ids) -> DataFrame:
-    """``df`` with the ids of a text column; null texts have none (an empty array)."""
+def encoded(df: DataFrame, column: str, name: str, encode: Encode = word_ids, most: int | None = None, begin: int | None = None, end: int | None = None) -> DataFrame:
+    """``df`` with the ids of a text column; null texts have none (an empty array).
+
+    The ids are cut to ``most`` first; ``begin`` and ``end`` are put around what is left, so
+    that a cut never loses them.
+    """
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(encode(batch.fillna("").tolist()))
 
-    return df.withColumn(name, ids(F.col(column)))
+    found = ids(F.col(column))
+    if most is not None:
+        found = cut(found, most)
+    marks = [F.array() if x is None else F.array(F.lit(x)) for x in (begin, end)]
+    if begin is not None or end is not None:
+        found = F.concat(marks[0].cast("array<int>"), found, marks[1].cast("array<int>"))
+    return df.withColumn(name, found)
+
+
+def decoded(df: DataFrame, column: str, name: str, decode: Decode, skip: tuple[int, ...] = ()) -> DataFrame:
+    """``df`` with the text of a column of ids; ids in ``skip`` (begin, end, padding) are left out; null stays null."""
+    kept = F.filter(F.col(column), lambda x: ~x.isin(*skip)) if skip else F.col(column)
+
+    @F.pandas_udf("string")
+    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            held = [x is not None for x in batch]
+            found = iter(decode([[int(i) for i in x] for x in batch if x is not None]))
+            yield pd.Series([next(found) if h else None for h in held], dtype=object)
+
+    return df.withColumn(name, texts(kept))
 
 
 def joined(prompt: Column, completion: Column, special: Special) -> Column:

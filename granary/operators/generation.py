@@ -11,12 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions import text
+from granary.functions import text, tokens
 from granary.functions.hashing import draw, order_key, ranked
+from granary.sources.registry import Decoding
 
 #: Tokens that are kept free beside the prompt and the answer.
 RESERVE = 10
-Generate = Callable[[list[str]], list[tuple[str, str]]]
+#: Texts, and where a context is given the most tokens of each answer, to (answer, finish reason).
+Generate = Callable[..., list[tuple[str, str]]]
 
 
 @dataclass(frozen=True)
@@ -66,31 +68,40 @@ def infilling(family: Column, before: Column, after: Column) -> Column:
     # The markers of three families.
     return (
         F.when(family == "starcoder", F.concat(F.lit("<fim_prefix>"), before, F.lit("<fim_suffix>"), after, F.lit("<fim_middle>")))
-        .when(family == "codellama", F.concat(F.lit("<PRE> "), before, F.lit(" <SUF>"), after, F.lit(" <MID>")))
+        .when(family == "codellama", F.concat(F.lit("▁<PRE>"), before, F.lit("▁<SUF>"), after, F.lit("▁<MID>")))
         .when(family == "deepseek", F.concat(F.lit("<｜fim▁begin｜>"), before, F.lit("<｜fim▁hole｜>"), after, F.lit("<｜fim▁end｜>")))
     )
 
 
 def with_retries(call: Callable[[], object], tries: int = 5, first: float = 30.0, sleep: Callable[[float], None] = time.sleep):
-    """The call's result; after a failure it is tried again up to ``tries`` times, waiting twice as long and a random part more each time."""
+    """The call's result; after a failure it is tried again up to ``tries`` times, but a ValueError is final. Each wait, the first one too, is twice the one before (at first ``first``) and a random part more."""
     wait = first
     for attempt in range(tries + 1):
         try:
             return call()
-        except Exception:
-            if attempt == tries:
+        except Exception as error:
+            if attempt == tries or isinstance(error, ValueError):
                 raise
-            sleep(wait)
             wait *= 2 * (1 + random.random())
+            sleep(wait)
+
+
+def generated(df: DataFrame, prompt: str, generate: Generate, context: int | None = None, decoding: Decoding = Decoding(), encode: tokens.Encode = tokens.word_ids) -> DataFrame:
+    """``df`` with the generator's ``answer`` and ``finish_reason``, in Arrow batches; a null prompt is an empty one.
 
+    With a ``context`` the generator is also told how many tokens each answer may have, and a
+    prompt that fills the context (its begin id counts) is refused.
+    """
 
-def generated(df: DataFrame, prompt: str, generate: Generate) -> DataFrame:
-    """``df`` with the generator's ``answer`` and ``finish_reason``, in Arrow batches."""
+    def bounded(texts: list[str]) -> list[tuple[str, str]]:
+        if context is None:
+            return generate(texts)
+        return generate(texts, [decoding.new_tokens(len(ids) + 1, context) for ids in encode(texts)])
 
     @F.pandas_udf("answer string, finish_reason string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(with_retries(lambda b=batch: generate(b.fillna("").tolist())), columns=["answer", "finish_reason"])
+            yield pd.DataFrame(with_retries(lambda b=batch: bounded(b.fillna("").tolist())), columns=["answer", "finish_reason"])
 
     return df.withColumn("_g", run(F.col(prompt))).select(*df.columns, "_g.answer", "_g.finish_reason")
 

@@ -54,18 +54,24 @@ def epoch_order(df: DataFrame, workers: int, seed: int, epoch: int, id: str, mod
         return ranked(df.withColumn("_key", order_key(seed + epoch, id, F.col("pos"))), "_key", id, "pos", name="new_pos").drop("_key")
     shared = df.withColumn("_share", worker("pos", workers))
     keyed = shared.withColumn("_key", order_key(F.lit(seed + epoch + 12345) + F.col("_share"), id, F.col("pos")))
-    inside = ranks.ranked(ranks.placed(ranks.by_key(keyed, "_key"), "_share"), "_share", "_key", id, "pos", name="_inside")
+    inside = ranks.in_groups(keyed, "_share", "_key", id, "pos", name="_inside")
     return inside.withColumn("new_pos", ((F.col("_inside") - 1) * workers + F.col("_share")).cast("long")).select(*df.columns, "new_pos")
 
 
 def shard(df: DataFrame, workers: int, rank: int, drop_last: bool = True) -> DataFrame:
-    """Rows of one worker: every ``workers``-th position from ``rank`` on; without drop_last the last position is repeated for a worker that lacks one."""
+    """Rows of one worker: every ``workers``-th position from ``rank`` on.
+
+    With drop_last all workers have floor(n / workers) rows. Without it all have as many as the
+    first one: a worker that lacks a row repeats its own last one, or the last of all if it has none.
+    """
     n = df.count()
     if drop_last:
         return df.where((worker("pos", workers) == rank) & (F.col("pos") < n // workers * workers))
     own = df.where(worker("pos", workers) == rank)
-    lacks = n % workers and rank >= n % workers
-    return own.unionByName(df.where(F.col("pos") == n - 1)) if lacks else own
+    if not n % workers or rank < n % workers:
+        return own
+    last = rank + (n // workers - 1) * workers if n >= workers else n - 1
+    return own.unionByName(df.where(F.col("pos") == last))
 
 
 def range_shards(df: DataFrame, id: str, workers: int) -> DataFrame:
@@ -77,14 +83,8 @@ def range_shards(df: DataFrame, id: str, workers: int) -> DataFrame:
 
 
 def in_id_order(df: DataFrame, id: str) -> DataFrame:
-    """``df`` with ``pos``, its rank by id: ranges of ids are counted first, so that no task sorts all rows."""
-    bounds = df.agg(F.min(id).alias("low"), F.max(id).alias("high")).first()
-    if bounds["low"] is None:
-        return df.withColumn("pos", F.lit(0).cast("long"))
-    width = max(1, (int(bounds["high"]) - int(bounds["low"])) // 4096 + 1)
-    cut = df.withColumn("_range", F.floor((F.col(id) - int(bounds["low"])) / width))
-    ahead = cut.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_ahead"))
-    return cut.join(F.broadcast(ahead), "_range").withColumn("pos", F.col("_ahead") + F.row_number().over(Window.partitionBy("_range").orderBy(id)) - 1).drop("_range", "_ahead")
+    """``df`` with ``pos``, its rank by id."""
+    return ranks.positions(df, id)
 
 
 def special_turns(df: DataFrame, id: str, workers: int, seed: int, special: int = 1) -> DataFrame:
@@ -115,26 +115,33 @@ def last_worker_apart(df: DataFrame, id: str, workers: int, seed: int) -> DataFr
     return last.unionByName(rest.withColumn("rank", F.pmod("_i", F.lit(others)).cast("long")).withColumn("step", F.floor(F.col("_i") / others)).drop("_i")).drop("_key")
 
 
-def ratio_batches(df: DataFrame, id: str, size: str, ratios: list[int], batch: int, block: int, seed: int) -> DataFrame:
-    """``df`` with ``part``, ``pos`` and ``batch_no``: rows are dealt to parts in the given ratios, sorted by length in each part and shuffled in blocks.
+def ratio_batches(df: DataFrame, id: str, size: str, ratios: list[int], per_worker: int, seed: int, epoch: int = 0) -> DataFrame:
+    """``df`` with ``part``, ``pos`` and ``batch_no``: batches that hold rows of all parts in the given ratios.
 
-    Each part emits whole batches only: floor(n / batch) * batch rows.
+    Rows are dealt by their place in the order of ids to sum(ratios) workers in turn, and part k
+    owns ratios[k] of the workers. A part is sorted from long to short (ties by worker and
+    place) and cut into blocks of ratios[k] rows. One shuffled order of the blocks holds for all
+    parts, rows are shuffled inside their block, and each batch takes ratios[k] * per_worker
+    rows of each part. Only whole batches are made, so up to a batch of rows is left out.
     """
-    total = sum(ratios)
-    dealt = ranked(df.withColumn("_key", order_key(seed, id, "deal")), "_key", id, name="_i").drop("_key")
-    share = F.pmod("_i", F.lit(total))
-    part = F.lit(len(ratios) - 1)
-    upto = total
-    for k in range(len(ratios) - 1, -1, -1):
-        upto -= ratios[k]
-        part = F.when(share < upto, F.lit(k - 1)).otherwise(part) if k else part
-    rows = dealt.withColumn("part", part)
-    long_first = F.row_number().over(Window.partitionBy("part").orderBy(F.col(size).desc(), id)) - 1
-    sized = rows.withColumn("_rank", long_first).withColumn("_n", F.count("*").over(Window.partitionBy("part"))).where(F.col("_rank") < F.floor(F.col("_n") / batch) * batch)
-    blocks = sized.withColumn("_block", F.floor(F.col("_rank") / block))
-    inside = Window.partitionBy("part").orderBy(order_key(seed, F.col("_block"), F.col("part")), "_block", order_key(seed, id, "block"), id)
-    placed = blocks.withColumn("pos", (F.row_number().over(inside) - 1).cast("long"))
-    return placed.withColumn("batch_no", F.floor(F.col("pos") / batch)).drop("_i", "_rank", "_n", "_block")
+    workers = sum(ratios)
+    starts = [sum(ratios[:k]) for k in range(len(ratios))]
+    rows = in_id_order(df, id).withColumnRenamed("pos", "_i").withColumn("_w", worker("_i", workers))
+    n = rows.count()
+    part, width, start = (F.lit(x) for x in (0, ratios[0], 0))
+    for k in range(1, len(ratios)):
+        later = F.col("_w") >= starts[k]
+        part, width, start = F.when(later, k).otherwise(part), F.when(later, ratios[k]).otherwise(width), F.when(later, starts[k]).otherwise(start)
+    named = rows.withColumn("part", part).withColumn("_width", width).withColumn("_start", start)
+    sized = ranks.in_groups(named, "part", F.col(size).desc(), "_w", "_i").withColumn("_block", F.floor((F.col("_rank") - 1) / F.col("_width"))).where(F.col("_block") < n // workers)
+    blocks = df.sparkSession.range(n // workers).withColumnRenamed("id", "_block")
+    turns = ranked(blocks.withColumn("_key", order_key(seed + epoch, "_block", "blocks")), "_key", "_block", name="_turn").drop("_key")
+    inside = F.row_number().over(Window.partitionBy("part", "_block").orderBy(order_key(seed + epoch, id, F.col("_block")), id)) - 1
+    turned = sized.withColumn("_inside", inside).join(turns, "_block").withColumn("_q", F.col("_turn") * F.col("_width") + F.col("_inside"))
+    batch = F.col("_width") * per_worker
+    placed = turned.withColumn("batch_no", F.floor(F.col("_q") / batch)).where(F.col("batch_no") < n // (workers * per_worker))
+    pos = F.col("batch_no") * (workers * per_worker) + F.col("_start") * per_worker + F.col("_q") % batch
+    return placed.withColumn("pos", pos.cast("long")).select(*df.columns, "part", "pos", "batch_no")
 
 
 def length_grouped(df: DataFrame, id: str, size: str, bucket: int, seed: int) -> DataFrame:
@@ -159,5 +166,6 @@ def fetched(order: DataFrame, data: DataFrame, id: str) -> DataFrame:
 
 
 def active(order: DataFrame, subset: DataFrame, id: str) -> DataFrame:
-    """The order without the rows whose id is not in the subset."""
-    return order.join(subset.select(id).distinct(), id, "left_semi")
+    """The order of the rows whose id is in the subset, numbered again from 0: what is striped over the workers is the subset."""
+    kept = order.join(subset.select(id).distinct(), id, "left_semi").withColumnRenamed("pos", "_old")
+    return ranks.positions(kept, "_old", id).drop("_old").select(*order.columns)

@@ -1,12 +1,13 @@
 """Balanced selection: equally many rows of each group, by distance, norm or chance.
 
-Groups may be of any size, also one that holds most rows: ranks are counted in ranges of a
-group's order, and ranges without a kept row are left out before rows are moved.
+Groups may be of any size, also one that holds most rows: ranks come from range partitions of
+the order by group and value.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 
 from granary.functions import ranks
 from granary.functions.hashing import draw, order_key
-from granary.functions.vectors import RANK_DECIMALS
+from granary.functions.vectors import RANK_DECIMALS, dot, squared_distance
+from granary.session import cut
 
 #: What a rule throws away names it: "far" keeps the nearest rows.
-RULES = ("far", "close", "mix", "rand", "big", "none")
+RULES = ("far", "close", "mix", "rand", "big", "none", "badge")
 
 
 @dataclass(frozen=True)
@@ -42,9 +44,11 @@ def smallest(df: DataFrame, group: str) -> int:
     return int(row["m"] or 0) if row else 0
 
 
-def selected(df: DataFrame, id: str, group: str, distance: str, plan: Plan, norm: str | None = None) -> DataFrame:
+def selected(df: DataFrame, id: str, group: str, distance: str, plan: Plan, norm: str | None = None, vector: str | None = None) -> DataFrame:
     """Rows of ``df`` that the plan keeps, with ``slot``: their shuffled place from 1 inside the group.
 
+    The rule "badge" keeps the rows that the greedy k-center choice over ``vector`` takes.
+
     Rows without a group, a distance or an id are left out. Ties are broken by id. Where the
     plan keeps no row (a low ratio, a large ``micro``) the result is empty for every rule.
     """
@@ -52,34 +56,33 @@ def selected(df: DataFrame, id: str, group: str, distance: str, plan: Plan, norm
         raise ValueError(f"rule must be one of {RULES}")
     rows = df.where(F.col(id).isNotNull() & F.col(group).isNotNull() & F.col(distance).isNotNull())
     keep = None if plan.rule == "none" else plan.keep(smallest(rows, group))
+    if plan.rule == "badge":
+        if vector is None:
+            raise ValueError("the rule badge needs a vector")
+        taken = farthest_first(rows, id, group, vector, keep)
+        return slotted(rows.join(taken.select(id, group), [id, group], "left_semi"), id, group, plan.seed)
     return slotted(pruned(rows, id, group, distance, plan, keep, norm), id, group, plan.seed)
 
 
 def pruned(rows: DataFrame, id: str, group: str, distance: str, plan: Plan, keep: int | None, norm: str | None) -> DataFrame:
-    """The rows that the rule keeps. Only ranges of a group that hold kept rows are moved."""
+    """The rows that the rule keeps."""
     if keep is None:
         return rows
-    columns = rows.columns
+    near = F.round(distance, RANK_DECIMALS)
     if plan.rule == "rand":
-        keyed = rows.withColumn("_key", order_key(plan.seed, id, F.col(group)))
-        ranged, order, ends = ranks.by_key(keyed, "_key"), ["_key", id], ("head",)
+        valued, order = rows.withColumn("_value", order_key(plan.seed, id, F.col(group))), ["_value", id]
     else:
-        near = F.round(distance, RANK_DECIMALS)
-        big = plan.rule == "big"
-        valued = rows.withColumn("_value", F.round(norm or distance, RANK_DECIMALS) if big else near)
-        ranged, order = ranks.by_value(valued, group, "_value"), ["_value", near, id]
-        ends = {"far": ("head",), "mix": ("head", "tail")}.get(plan.rule, ("tail",))
-    head = {"mix": keep // 2}.get(plan.rule, keep) if "head" in ends else 0
-    tail = keep - keep // 2 if plan.rule == "mix" else keep if "tail" in ends else 0
-    needed = (F.col("_ahead") < head) | (F.col("_ahead") + F.col("_size") > F.col("_n") - tail)
-    ranked = ranks.ranked(ranks.placed(ranged, group).where(needed), group, *order)
-    return ranked.where((F.col("_rank") <= head) | (F.col("_rank") > F.col("_n") - tail)).select(*columns)
+        valued, order = rows.withColumn("_value", F.round(norm or distance, RANK_DECIMALS) if plan.rule == "big" else near), ["_value", near, id]
+    head = {"far": keep, "rand": keep, "mix": keep // 2}.get(plan.rule, 0)
+    tail = 0 if plan.rule in ("far", "rand") else keep - head
+    ranked = ranks.in_groups(valued, group, *order)
+    return ranked.where((F.col("_rank") <= head) | (F.col("_rank") > F.col("_n") - tail)).select(*rows.columns)
 
 
 def slotted(df: DataFrame, id: str, group: str, seed: int) -> DataFrame:
     """``df`` with ``slot``: the rank from 1 in a shuffle inside each group, seeded with seed + group."""
     keyed = df.withColumn("_key", order_key(F.lit(seed) + F.col(group), id))
-    return ranks.ranked(ranks.placed(ranks.by_key(keyed, "_key"), group), group, "_key", id, name="slot").select(*df.columns, "slot")
+    return ranks.in_groups(keyed, group, "_key", id, name="slot").select(*df.columns, "slot")
 
 
 def oversampled(df: DataFrame, id: str, group: str, plan: Plan) -> DataFrame:
@@ -105,14 +108,12 @@ def oversampled(df: DataFrame, id: str, group: str, plan: Plan) -> DataFrame:
 def farthest_first(df: DataFrame, id: str, group: str, vector: str, keep: int, most: int = 200_000) -> DataFrame:
     """(id, group, step): ``keep`` rows of each group by k-center greedy: the longest vector, then always the farthest from those taken.
 
-    The method is sequential, so a group is one task; a group of more than ``most`` rows is
-    refused and must be split by the caller. Ties go to the lower id, and no row is taken
-    twice. Null vectors are left out.
+    The method is sequential. Groups of up to ``most`` rows are one task each; larger ones are
+    worked on where their rows lie, with one pass over them for each step, and give the same
+    rows. Ties go to the lower id, and no row is taken twice. Rows without an id, a group or a
+    vector are left out.
     """
     held = df.where(F.col(id).isNotNull() & F.col(group).isNotNull() & F.col(vector).isNotNull()).select(id, group, vector)
-    largest = held.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > most:
-        raise ValueError(f"a group has {largest} rows; split groups above {most}")
     kinds = dict(df.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -130,7 +131,28 @@ def farthest_first(df: DataFrame, id: str, group: str, vector: str, keep: int, m
             score = np.round(least, RANK_DECIMALS)
         return pd.DataFrame({id: rows[id].iloc[taken].to_numpy(), group: rows[group].iloc[taken].to_numpy(), "step": np.arange(1, len(taken) + 1, dtype=np.int64)})
 
-    return held.groupBy(group).applyInPandas(run, f"`{id}` {kinds[id]}, `{group}` {kinds[group]}, step long")
+    schema = f"`{id}` {kinds[id]}, `{group}` {kinds[group]}, step long"
+    large = cut(held.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(group))
+    if large.isEmpty():
+        return held.groupBy(group).applyInPandas(run, schema)
+    small = held.join(large, group, "left_anti").groupBy(group).applyInPandas(run, schema)
+    return small.unionByName(farthest_in_place(held.join(large, group, "left_semi"), id, group, vector, keep))
+
+
+def farthest_in_place(held: DataFrame, id: str, group: str, vector: str, keep: int) -> DataFrame:
+    """The same for groups of any size: a step finds the farthest free row of each group and brings it to the rows of its group."""
+    rows = cut(held.withColumn("_least", F.lit(float("inf"))).withColumn("_score", F.round(dot(vector, vector), RANK_DECIMALS)).withColumn("_free", F.lit(True)))
+    chosen = []
+    for step in range(1, keep + 1):
+        best = F.max_by(F.struct(F.col(id).alias("_id"), F.col(vector).alias("_v")), F.struct(F.col("_score"), -F.col(id)))
+        picks = cut(rows.where("_free").groupBy(group).agg(best.alias("_p")).select(group, "_p.*"))
+        if picks.isEmpty():
+            break
+        chosen.append(picks.select(F.col("_id").alias(id), group, F.lit(step).cast("long").alias("step")))
+        near = F.least("_least", squared_distance(vector, "_v"))
+        rows = rows.join(picks, group, "left").select(id, group, vector, F.coalesce(near, "_least").alias("_least"), (F.col("_free") & ~F.coalesce(F.col("_id") == F.col(id), F.lit(False))).alias("_free"))
+        rows = cut(rows.withColumn("_score", F.round("_least", RANK_DECIMALS)))
+    return reduce(DataFrame.unionByName, chosen)
 
 
 def diagnostics(df: DataFrame, group: str, plan: Plan) -> DataFrame:

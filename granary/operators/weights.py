@@ -28,9 +28,12 @@ def mode_weight(share: Column, mode: str) -> Column:
     return {"inv": 1 / share, "sqrt_inv": 1 / F.sqrt(share), "prop": share, "none": F.lit(1.0)}[mode]
 
 
-def row_weights(selected: DataFrame, sizes: DataFrame, group: str, mode: str) -> DataFrame:
-    """``selected`` with ``row_weight``: the weight of its group, divided by the mean over the selected rows (with multiplicity)."""
-    by_group = F.broadcast(sizes.select(group, mode_weight(F.col("share"), mode).alias("_w")))
+def row_weights(selected: DataFrame, sizes: DataFrame, group: str, mode: str, rule: str | None = None) -> DataFrame:
+    """``selected`` with ``row_weight``: the weight of its group, divided by the mean over the selected rows (with multiplicity).
+
+    Under the selection rule "none" every row weighs 1, whatever the mode.
+    """
+    by_group = sizes.select(group, mode_weight(F.col("share"), "none" if rule == "none" else mode).alias("_w"))
     weighted = selected.join(by_group, group)
     mean = weighted.agg(F.avg("_w")).first()[0]
     return weighted.withColumn("row_weight", F.col("_w") / F.lit(mean)).drop("_w")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,21 +23,23 @@ class Pipeline:
 
 
 def balanced_order(df: DataFrame, id: str, vector: str, p: Pipeline) -> tuple[DataFrame, DataFrame]:
-    """(order, weights): (pos, id, cluster, slot, dist) and (cluster, n, rank_weight).
+    """(order, weights): (pos, id, group_no, slot, dist) and (group_no, n, rank_weight).
 
+    With the rule "badge" groups have no capacity and the order is a shuffle of all rows.
     With fewer than two groups the order is by id and all weights are 1. Rows without a vector
     are in no group. What reaches the driver are the centers and one size per group.
     """
     rows = df.where(F.col(vector).isNotNull() & F.col(id).isNotNull()).select(id, (normalized(vector) if p.normalize else F.col(vector)).alias("features"))
     if p.grouping.k <= 1:
-        single = ordering.in_id_order(rows.select(id), id).withColumn("cluster", F.lit(0)).withColumn("slot", F.col("pos") + 1).withColumn("dist", F.lit(0.0))
-        return single, weights.rank_weights(weights.group_sizes(single, "cluster"), "cluster", False)
-    groups = grouping.grouped(rows, id, "features", p.grouping)
-    kept = selection.selected(groups, id, "cluster", "dist", p.plan)
-    order = ordering.ordered(kept, "cluster", p.mode, id, p.plan.seed)
-    return order.select("pos", id, "cluster", "slot", "dist"), weights.rank_weights(weights.group_sizes(groups, "cluster"), "cluster")
+        single = ordering.in_id_order(rows.select(id), id).withColumn("group_no", F.lit(0)).withColumn("slot", F.col("pos") + 1).withColumn("dist", F.lit(0.0))
+        return single, weights.rank_weights(weights.group_sizes(single, "group_no"), "group_no", False)
+    greedy = p.plan.rule == "badge"
+    groups = grouping.grouped(rows, id, "features", replace(p.grouping, trigger=math.inf) if greedy else p.grouping)
+    kept = selection.selected(groups.join(rows, id) if greedy else groups, id, "group_no", "dist", p.plan, vector="features")
+    order = ordering.ordered(kept, "group_no", "rand" if greedy else p.mode, id, p.plan.seed)
+    return order.select("pos", id, "group_no", "slot", "dist"), weights.rank_weights(weights.group_sizes(groups, "group_no"), "group_no")
 
 
 def uniform_order(groups: DataFrame, id: str, p: Pipeline) -> DataFrame:
     """The baseline: every group brought to the largest group's size, interleaved, all weights 1."""
-    return ordering.ordered(selection.oversampled(groups, id, "cluster", p.plan), "cluster", p.mode, id, p.plan.seed)
+    return ordering.ordered(selection.oversampled(groups, id, "group_no", p.plan), "group_no", p.mode, id, p.plan.seed)

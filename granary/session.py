@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -13,13 +15,14 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "granary") -> SparkSession:
-    """A local session for tests and benches; on a cluster the caller brings its own."""
+    """A local session for tests and benches; elsewhere the caller brings its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("GRANARY_DRIVER_MEMORY", "8g"))
@@ -27,11 +30,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "grana
     )
 
 
+def own_folder(prefix: str) -> str:
+    """A temporary folder of the driver, removed when the process ends."""
+    path = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for ``checkpoint()``.
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``. Only where that is unset
-    and the master is local (tests), a temporary folder is taken instead; a cluster without
+    A set of machines names its shared folder in ``spark.checkpoint.dir``. Only where that is unset
+    and the master is local (tests), a temporary folder is taken instead; machines without
     the setting is refused, since a machine-local folder would not survive a lost executor.
     """
     context = spark.sparkContext
@@ -42,7 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         if not context.master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="granary-checkpoint-")
+        named = own_folder("granary-checkpoint-")
     context.setCheckpointDir(named)
     return named
 
@@ -68,7 +78,7 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_granary_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    held = os.path.join(tempfile.mkdtemp(prefix="granary-ship-"), "granary.zip")
+    held = os.path.join(own_folder("granary-ship-"), "granary.zip")
     with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
         for folder, _, files in os.walk(os.path.join(root, "granary")):
             for name in files:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,7 +26,7 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prefix(df: DataFrame, id: str, n: int) -> DataFrame:
-    """The first ``n`` rows by id: a file order is no order in a cluster."""
+    """The first ``n`` rows by id: a file order is no order where files are read side by side."""
     return df.orderBy(id).limit(n)
 
 
@@ -48,3 +48,9 @@ def remaining_by_key(df: DataFrame, written: DataFrame, index: str) -> DataFrame
 
 def output_name(tag: str, fingerprint: str, start: int, end: int, stamp: str) -> str:
     return f"data{'-' + tag if tag else ''}-{fingerprint}-{start}_{end}-{stamp}.jsonl"
+
+
+def output_names(tag: str, fingerprint: Column, start: Column, end: Column, stamp: Column) -> Column:
+    """The same names for the rows of a table of runs."""
+    span = F.concat_ws("_", start.cast("string"), end.cast("string"))
+    return F.concat(F.concat_ws("-", F.lit(f"data-{tag}" if tag else "data"), fingerprint, span, stamp), F.lit(".jsonl"))

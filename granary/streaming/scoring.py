@@ -10,10 +10,10 @@ from granary.operators.grouping import distances
 
 
 def scored(stream: DataFrame, vector: str, centers: list[list[float]]) -> DataFrame:
-    """The rows with ``cluster`` and ``dist``; stateless, so it holds for batches and streams alike."""
+    """The rows with ``group_no`` and ``dist``; stateless, so it holds for batches and streams alike."""
     nearest = F.element_at(distances(vector, centers), 1)
     held = stream.where(F.col(vector).isNotNull()).withColumn("_near", nearest)
-    return held.withColumn("cluster", F.col("_near.cluster")).withColumn("dist", F.col("_near.dist")).drop("_near")
+    return held.withColumn("group_no", F.col("_near.group_no")).withColumn("dist", F.col("_near.dist")).drop("_near")
 
 
 def sizes_by_window(stream: DataFrame, time: str, window: str, late: str, *groups: str) -> DataFrame:

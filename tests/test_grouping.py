@@ -27,9 +27,9 @@ def test_rounds_of_proposals_equal_the_greedy_order(spark):
     for near, cap in ((1, 4), (2, 5)):
         dist = [[round(rng.random() ** (1 + c), 1) for c in range(4)] for _ in range(16)]
         data = [(i, p + 1, c, dist[i][c]) for i in range(16) for p, c in enumerate(sorted(range(4), key=lambda c: (dist[i][c], c)))]
-        every = spark.createDataFrame(data, "id long, choice int, cluster int, dist double")
+        every = spark.createDataFrame(data, "id long, choice int, group_no int, dist double")
         out = grouping.assign_under_capacity(every.where(f"choice <= {near}"), "id", cap, every).collect()
-        found = {r["id"]: r["cluster"] for r in out}
+        found = {r["id"]: r["group_no"] for r in out}
         assert len(out) == 16 and found == greedy(dist, cap, near)
 
 
@@ -38,7 +38,7 @@ def test_skewed_groups_are_assigned_under_a_capacity(spark):
     data = [(i, [rng.gauss(0, 0.1) + (9.0 if i % 12 == 0 else 0.0), rng.gauss(0, 0.1)]) for i in range(120)] + [(999, None)]
     df = spark.createDataFrame(data, "id long, v array<double>")
     out = grouping.grouped(df, "id", "v", Grouping(k=2, tries=1)).collect()
-    sizes = [sum(r["cluster"] == c for r in out) for c in (0, 1)]
+    sizes = [sum(r["group_no"] == c for r in out) for c in (0, 1)]
     assert len(out) == 120 and max(sizes) <= grouping.capacity(120, 2, 0.5)
 
 
@@ -48,13 +48,13 @@ def test_pipeline_covers_each_row_once(spark):
     assert [r["pos"] for r in order.orderBy("id").collect()] == list(range(60)) and weight.first()["rank_weight"] == 1.0
     order, weight = pipeline.balanced_order(df, "id", "v", pipeline.Pipeline(Grouping(k=3, tries=1)))
     rows = order.collect()
-    assert sorted(r["pos"] for r in rows) == list(range(len(rows))) and all(r["pos"] % 3 == r["cluster"] for r in rows)
+    assert sorted(r["pos"] for r in rows) == list(range(len(rows))) and all(r["pos"] % 3 == r["group_no"] for r in rows)
     assert len({r["id"] for r in rows}) == len(rows) and abs(sum(r["rank_weight"] for r in weight.collect()) - 3) < 1e-9
 
 
 def test_scores_of_new_rows(spark):
     df = spark.createDataFrame([(1, [0.0, 0.9]), (2, [3.0, 0.0]), (3, None)], "id long, v array<double>")
-    out = {r["id"]: (r["cluster"], r["dist"]) for r in scoring.scored(df, "v", [[0.0, 0.0], [3.0, 1.0]]).collect()}
+    out = {r["id"]: (r["group_no"], r["dist"]) for r in scoring.scored(df, "v", [[0.0, 0.0], [3.0, 1.0]]).collect()}
     assert out == {1: (0, 0.81), 2: (1, 1.0)}
 
 

@@ -105,5 +105,5 @@ def test_farthest_first(spark):
     df = spark.createDataFrame(data, "id long, g int, v array<double>")
     out = {(r["g"], r["step"]): r["id"] for r in selection.farthest_first(df, "id", "g", "v", 3).collect()}
     assert out[(0, 1)] == 2 and out[(0, 2)] == 4 and {out[(1, 1)], out[(1, 2)]} == {6, 7} and (1, 3) not in out
-    with pytest.raises(ValueError):
-        selection.farthest_first(df, "id", "g", "v", 3, most=2)
+    in_place = selection.farthest_first(df, "id", "g", "v", 3, most=2)
+    assert {(r["g"], r["step"]): r["id"] for r in in_place.collect()} == out
