@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 14
+#: Counters stop here instead of running over.
+MOST = np.iinfo(np.int32).max
+#: Bits of one block of a bitmap.
+BITS = 1 << 17
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -45,7 +49,9 @@ def slot_sums(df: DataFrame, slots_of: Callable[[Iterator[pa.RecordBatch]], Iter
         total = np.zeros(slots, dtype=np.int32)
         for found in slots_of(batches):
             if len(found):
-                np.add(total, np.bincount(found, minlength=slots), out=total, casting="unsafe")
+                more = np.bincount(found, minlength=slots)
+                more += total
+                total = np.minimum(more, MOST, out=more).astype(np.int32)
         blocks = [b for b in range(0, slots, BLOCK) if total[b : b + BLOCK].any()]
         yield pa.RecordBatch.from_pydict(
             {"block": pa.array(blocks, pa.int32()), "counts": pa.array([pack(total[b : b + BLOCK]) for b in blocks], pa.binary())}
@@ -53,7 +59,7 @@ def slot_sums(df: DataFrame, slots_of: Callable[[Iterator[pa.RecordBatch]], Iter
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(unpack(x)[0].astype(np.int64) for x in table.column("counts").to_pylist())
-        total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
+        total = np.minimum(total, MOST).astype(np.int32)
         return pa.table({"block": table.column("block")[:1].cast(pa.int32()), "counts": pa.array([pack(total)], pa.binary())})
 
     schema = "block int, counts binary"
@@ -64,6 +70,36 @@ def slot_sums(df: DataFrame, slots_of: Callable[[Iterator[pa.RecordBatch]], Iter
     return result
 
 
+def key_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each slot (a key's low bits, of which ``bits`` is the number) that a column ``key`` of 64-bit hashes fills.
+
+    Each block of the bitmap is made where its slots meet; the driver fetches ``bits`` / 8 bytes at most.
+    """
+
+    def filled(table: pa.Table) -> pa.Table:
+        held = np.zeros(BITS, dtype=bool)
+        held[table.column("bit").to_numpy()] = True
+        return pa.table({"block": table.column("block")[:1], "held": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
+
+    slot = F.col("key").bitwiseAND(F.lit(bits - 1))
+    spread = keys.select(F.floor(slot / BITS).cast("int").alias("block"), (slot % BITS).cast("int").alias("bit")).distinct()
+    result = np.zeros(bits // 8, dtype=np.uint8)
+    for row in spread.groupBy("block").applyInArrow(filled, "block int, held binary").collect():
+        result[row["block"] * BITS // 8 : (row["block"] + 1) * BITS // 8] = np.frombuffer(bytes(row["held"]), dtype=np.uint8)
+    return result
+
+
+def in_bitmap(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each 64-bit key is set."""
+    slot = keys.view(np.uint64) & np.uint64(8 * len(held) - 1)
+    return (held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def power_above(n: int, least: int, most: int) -> int:
+    """The power of two at or over ``n``, between two others."""
+    return min(max(1 << max(0, n - 1).bit_length(), least), most)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """One output batch per input batch; nothing for None."""
 

@@ -10,9 +10,11 @@ traversed together from the roots down, and a pair of nodes is left as soon as i
 possible overlap is below the least overlap that the threshold asks of their sizes. What
 passes at the leaves is verified on the whole sets, so the result is exact.
 
-Tokens are counted over all records in a fixed number of slots; the counts only define the
-order "rare first" (any common order gives the same result). A token that more than ``hot``
-records hold is split into blocks of them, and each pair of blocks gets a tree of its own.
+Tokens are counted over all records in slots, eight for each record up to 2^24; the counts
+only define the order "rare first" (any common order gives the same result). A token of more
+than ``hot`` records, and of more than four times the mean of the slots, is split into blocks
+of records, and each pair of blocks gets a tree of its own. As the bound follows the mean, few
+tokens are split at any size of the collection, and few postings are sent more than once.
 """
 
 from __future__ import annotations
@@ -40,11 +42,15 @@ class Alike:
 
     shingle: int = 5
     threshold: float = 0.8
-    slots: int = 1 << 20
+    slots_per_record: int = 8
+    least_slots: int = 1 << 20
+    most_slots: int = 1 << 24
     bitmap_words: int = 3
     fan_out: int = 8
     hot: int = 8192
-    postings_per_tree: int = 1_000_000
+    postings_per_tree: int = 500_000
+    #: Bits of the filter for the records that stand in a candidate pair, whose sets are needed again.
+    most_bits: int = 1 << 28
 
     @property
     def ratio(self) -> Fraction:
@@ -105,7 +111,18 @@ def bitmaps(sets: Sets, count: int) -> np.ndarray:
     return out
 
 
-def postings(sets: Sets, order: np.ndarray, a: Alike) -> tuple[np.ndarray, ...]:
+def hot_bound(counts: np.ndarray, a: Alike) -> int:
+    """Postings from which a token is split."""
+    return max(a.hot, math.ceil(4 * float(counts.mean())))
+
+
+def expected_postings(counts: np.ndarray, a: Alike) -> int:
+    """About how many postings are sent if every token stands in prefixes as often as any other, those of split tokens repeated."""
+    n = counts.astype(np.float64)
+    return math.ceil(float((n * np.ceil(n / hot_bound(counts, a))).sum()) * float(1 - a.ratio))
+
+
+def postings(sets: Sets, order: np.ndarray, hot: int, a: Alike) -> tuple[np.ndarray, ...]:
     """(token, text, whether the token binds the shorter of a pair, side) of each prefix."""
     t = a.ratio
     slot = (sets.token & np.uint64(len(order) - 1)).astype(np.int64)
@@ -116,7 +133,7 @@ def postings(sets: Sets, order: np.ndarray, a: Alike) -> tuple[np.ndarray, ...]:
     held = rank < prefix_length(sets.size, t)[row]
     row, rank, token = row[held], rank[held], sets.token[by[held]]
     short = rank < prefix_length(sets.size, 2 * t / (1 + t))[row]
-    blocks = -(-order[slot[by[held]]].astype(np.int64) // a.hot)
+    blocks = -(-order[slot[by[held]]].astype(np.int64) // hot)
     side = np.zeros(len(row), dtype=np.uint8)
     many = blocks > 1
     if not many.any():
@@ -151,14 +168,14 @@ def unseen(sets: Sets, seen: set[int]) -> np.ndarray:
     return once
 
 
-def emit(batch: pa.RecordBatch, order: np.ndarray, trees: int, a: Alike, seen: set[int]) -> pa.RecordBatch:
+def emit(batch: pa.RecordBatch, order: np.ndarray, hot: int, trees: int, a: Alike, seen: set[int]) -> pa.RecordBatch:
     """For each group of trees one packed row of the batch's classes and their tokens there."""
     group: list[int] = []
     packed: list[bytes] = []
     for _, sets in chunk_sets(batch, a.shingle):
         once = unseen(sets, seen)
         bits = bitmaps(sets, a.bitmap_words)
-        token, row, short, side = postings(sets, order, a)
+        token, row, short, side = postings(sets, order, hot, a)
         keep = once[row]
         token, row, short, side = token[keep], row[keep], short[keep], side[keep]
         at = (token % np.uint64(trees)).astype(np.int64)
@@ -306,54 +323,60 @@ class NearDuplicates:
 
         return arrays.arrow_map(self.texts, keys, "id long, key long, size int").distinct()
 
-    def candidates(self) -> DataFrame:
-        """Pairs of classes (a < b) that the trees could not tell apart."""
+    def token_counts(self) -> np.ndarray:
+        """How often tokens fall in each slot, each class once a task; the number of slots follows the number of records."""
         a = self.alike
+        slots = arrays.power_above(a.slots_per_record * self.texts.count(), a.least_slots, a.most_slots)
 
         def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             seen: set[int] = set()
             for batch in batches:
                 for _, sets in chunk_sets(batch, a.shingle):
-                    yield (sets.token[unseen(sets, seen)[sets.row]] & np.uint64(a.slots - 1)).astype(np.int64)
+                    yield (sets.token[unseen(sets, seen)[sets.row]] & np.uint64(slots - 1)).astype(np.int64)
+
+        return arrays.slot_sums(self.texts.select("text"), slots_of, slots)
 
-        counts = arrays.slot_sums(self.texts.select("text"), slots_of, a.slots)
-        total = math.ceil(int(counts.sum(dtype=np.int64)) * float(1 - a.ratio))
-        trees = max(shuffle_width(self.spark), math.ceil(total / a.postings_per_tree))
-        shared = self.spark.sparkContext.broadcast(counts.astype(np.uint32))
+    def candidates(self) -> DataFrame:
+        """Pairs of classes (a < b) that the trees could not tell apart."""
+        a = self.alike
+        counts = self.token_counts()
+        hot = hot_bound(counts, a)
+        trees = max(shuffle_width(self.spark), math.ceil(expected_postings(counts, a) / a.postings_per_tree))
+        shared = self.spark.sparkContext.broadcast(counts.view(np.uint32))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for batch in batches:
-                yield emit(batch, shared.value, trees, a, seen)
+                yield emit(batch, shared.value, hot, trees, a, seen)
 
         packed = self.texts.select("text").mapInArrow(run, "tree int, packed binary")
         found = packed.groupBy("tree").applyInArrow(lambda table: traverse(table, a), "a long, b long")
         return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def links(self) -> DataFrame:
-        """(a, b, both, either): pairs of classes that reach the threshold, verified on the whole sets."""
+        """(a, b, both, either): pairs of classes that reach the threshold, verified on the whole sets.
+
+        The sets are made again of the classes in candidate pairs alone: a bitmap of their keys,
+        eight bits for each up to ``most_bits``, keeps nearly all others back, the join the rest.
+        """
         a, t = self.alike, self.alike.ratio
         candidates = cut(self.candidates())
-        size = 1 << 22
+        asked = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
+        bits = arrays.power_above(8 * asked.count(), 1 << 20, a.most_bits)
+        wanted = self.spark.sparkContext.broadcast(arrays.key_bitmap(asked, bits))
 
-        def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
             for batch in batches:
-                for side in ("a", "b"):
-                    yield (batch.column(side).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(size - 1)).astype(np.int64)
-
-        wanted = self.spark.sparkContext.broadcast(np.packbits(arrays.slot_sums(candidates, slots_of, size) > 0))
-
-        def kept(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            bit, keys, sets_of = wanted.value, [], []
-            for _, sets in chunk_sets(batch, a.shingle):
-                slot = (sets.key.view(np.uint64) & np.uint64(size - 1)).astype(np.int64)
-                first = np.cumsum(sets.size) - sets.size
-                for k in np.flatnonzero((bit[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1):
-                    keys.append(int(sets.key[k]))
-                    sets_of.append(sets.token[first[k] : first[k] + sets.size[k]].astype(np.int64))
-            return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "tokens": pa.array(sets_of, pa.list_(pa.int64()))})
-
-        sets = arrays.arrow_map(self.texts.select("text"), kept, "key long, tokens array<long>").groupBy("key").agg(F.first("tokens").alias("tokens"))
+                keys, sets_of = [], []
+                for _, sets in chunk_sets(batch, a.shingle):
+                    first = np.cumsum(sets.size) - sets.size
+                    for k in np.flatnonzero(unseen(sets, seen) & arrays.in_bitmap(wanted.value, sets.key)):
+                        keys.append(int(sets.key[k]))
+                        sets_of.append(sets.token[first[k] : first[k] + sets.size[k]].astype(np.int64))
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "tokens": pa.array(sets_of, pa.list_(pa.int64()))})
+
+        sets = self.texts.select("text").mapInArrow(kept, "key long, tokens array<long>").groupBy("key").agg(F.first("tokens").alias("tokens"))
         left, right = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
         both = F.size(F.array_intersect("x", "y")).cast("long")
         either = F.size("x") + F.size("y") - F.col("both")
@@ -375,7 +398,9 @@ class NearDuplicates:
         )
 
     def groups(self) -> DataFrame:
-        """(id, class_id, group_id, links): one row per record with a token; the group is named after its smallest id.
+        """(id, class_id, group_id, links): one row per record with a token; class and group are named after their smallest id.
+
+        A class holds the records of equal token sets, links counts the other classes it is alike to.
 
         Groups are the components of the links, found by rounds of large-star and small-star
         steps whose lineage is cut in the shared checkpoint folder.
@@ -384,13 +409,11 @@ class NearDuplicates:
         links = cut(self.links().select("a", "b"))
         degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("links"))
         roots = components(links, "a", "b")
-        named = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        names = named.groupBy("root").agg(F.min("id").alias("group_id"))
-        return (
-            named.join(names, "root")
-            .join(degree.select(F.col("a").alias("key"), "links"), "key", "left")
-            .select("id", F.col("key").alias("class_id"), "group_id", F.coalesce("links", F.lit(0)).alias("links"))
-        )
+        classes = members.groupBy("key").agg(F.min("id").alias("class_id"))
+        named = classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        names = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
+        of_class = named.join(names, "root").join(degree.select(F.col("a").alias("key"), "links"), "key", "left")
+        return members.join(of_class, "key").select("id", "class_id", "group_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:

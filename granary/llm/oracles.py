@@ -26,6 +26,19 @@ p AS (SELECT x.row_id AS a, y.row_id AS b, count(*) AS both FROM b x JOIN b y ON
 SELECT p.a AS row_id_a, p.b AS row_id_b FROM p JOIN n x ON x.row_id = p.a JOIN n y ON y.row_id = p.b WHERE p.both * 100 >= 70 * (x.n + y.n - p.both)"""
 
 
+GROUPS = f"""WITH RECURSIVE t AS (SELECT DISTINCT row_id, {words("coalesce(instruction, '') || ' ' || coalesce(response, '')")} AS l FROM training_rows),
+w AS (SELECT row_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM t),
+b AS (SELECT DISTINCT row_id, g FROM (SELECT row_id, w || ' ' || lead(w) OVER (PARTITION BY row_id ORDER BY i) AS g FROM w) WHERE g IS NOT NULL),
+h AS (SELECT row_id, md5(string_agg(g, chr(10) ORDER BY g)) AS h, count(*) AS n FROM b GROUP BY row_id),
+k AS (SELECT row_id, min(row_id) OVER (PARTITION BY h) AS class_id, n FROM h),
+c AS (SELECT row_id AS c, g, n FROM k JOIN b USING (row_id) WHERE row_id = class_id),
+p AS (SELECT x.c AS a, y.c AS b, count(*) AS met, any_value(x.n) AS na, any_value(y.n) AS nb FROM c x JOIN c y ON x.g = y.g AND x.c <> y.c GROUP BY 1, 2),
+e AS (SELECT a, b FROM p WHERE met * 100 >= 70 * (na + nb - met)),
+r AS (SELECT DISTINCT class_id AS a, class_id AS b FROM k UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a, min(b) AS group_id FROM r GROUP BY a), d AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT k.row_id, k.class_id, m.group_id, coalesce(d.n, 0) AS links FROM k JOIN m ON m.a = k.class_id LEFT JOIN d ON d.a = k.class_id"""
+
+
 def runs(table: str, id: str, n: str) -> str:
     return f"SELECT DISTINCT {id}, array_to_string(l[i:i + {n} - 1], ' ') AS g FROM (SELECT {id}, {n} AS need, l, unnest(range(1, len(l) - {n} + 2)) AS i FROM {table})"
 
@@ -54,6 +67,7 @@ ORACLES: dict[str, str] = {
     "p3_shares": REPEATED + "SELECT row_id, n_words, n_covered, round(n_covered / greatest(n_words, 1), 6) AS repeated_share FROM s",
     "p3_found": REPEATED + "SELECT DISTINCT row_id FROM s WHERE n_words > 0 AND 2 * n_covered >= n_words",
     "p5_found": ALIKE,
+    "p5_groups": GROUPS,
     "p6_selected": SUBSETS,
     "p8_found": LEAKED,
 }

@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import base64
 import os
-from functools import lru_cache
+
+from granary.functions.tokens import loaded as encoding
 
 #: Folder of the vocabulary files; every executor must find it under the same path.
 FOLDER = os.environ.get("GRANARY_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.tiktoken"
-# Fixed value: how the byte-level vocabulary's texts are cut before merging.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-@lru_cache(maxsize=4)
-def encoding(path: str):
-    import tiktoken
-
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def vocabulary(folder: str = FOLDER, name: str = BYTE_BPE) -> str:

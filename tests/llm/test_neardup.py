@@ -76,3 +76,36 @@ def test_a_group_of_copies_counts_once_in_a_task():
     seen = set()
     assert neardup.unseen(sets, seen).tolist() == [True, True, False, False]
     assert neardup.unseen(sets, seen).tolist() == [False] * 4
+
+
+def test_few_postings_are_repeated_at_any_size():
+    """The same records with all counts a thousand times and more as large: what is split follows the mean."""
+    import numpy as np
+
+    from granary.llm import neardup
+
+    a = Alike(shingle=2, threshold=0.7, least_slots=1 << 14)
+    rng = random.Random(2)
+    common = [f"c{i}" for i in range(4)]
+    sets = neardup.token_sets([" ".join(rng.choice(common) if rng.random() < 0.3 else f"r{rng.randrange(3000)}" for _ in range(40)) for _ in range(2000)], 2)
+    counts = np.bincount((sets.token & np.uint64(a.least_slots - 1)).astype(np.int64), minlength=a.least_slots)
+    plain = len(neardup.postings(sets, counts.astype(np.uint32), 1 << 40, a)[0])
+    for scale in (1, 1000, 10_000):
+        scaled = (counts * scale).astype(np.uint32)
+        sent = len(neardup.postings(sets, scaled, neardup.hot_bound(scaled, a), a)[0])
+        assert plain <= sent < 2 * plain
+
+
+def test_bitmaps_and_counters(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from granary.llm import arrays
+
+    keys = spark.range(0, 500).select(F.xxhash64("id").alias("key"))
+    held = arrays.key_bitmap(keys, 1 << 20)
+    mine = np.array([r["key"] for r in keys.collect()])
+    assert arrays.in_bitmap(held, mine).all() and arrays.in_bitmap(held, np.arange(1000) * 7919).sum() < 10
+    full = lambda batches: (np.full(b.num_rows, 3) for b in batches)
+    assert arrays.slot_sums(spark.range(100), full, 8).tolist() == [0, 0, 0, 100, 0, 0, 0, 0]
+    assert arrays.power_above(5, 2, 64) == 8 and arrays.power_above(500, 2, 64) == 64 and arrays.power_above(0, 2, 64) == 2
