@@ -157,7 +157,7 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.split_sentences(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return sentences.split_sentences(table(spark, d, "documents"), "doc_id", "text", "lang").withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

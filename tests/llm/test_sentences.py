@@ -32,6 +32,49 @@ def test_rules(text):
     assert [text[a:b] for a, b in sentences(text)] == CASES[text]
 
 
+TERMINATORS = [0x589, 0x61D, 0x61E, 0x61F, 0x6D4, 0x700, 0x7F9, 0x964, 0x104B, 0x1362, 0x166E, 0x17D4, 0x17D5, 0x1803, 0x1944, 0x1AA8, 0x1B5A, 0x1C7E, 0x203C, 0x2047, 0x2E3C, 0x3002, 0xA4FF, 0xA60E, 0xA6F3, 0xA876, 0xA92F, 0xA9C8, 0xAA5D, 0xABEB, 0xFE52, 0xFE56, 0xFF0E, 0xFF61, 0x11141, 0x1DA88]
+
+
+@pytest.mark.parametrize("point", TERMINATORS, ids=hex)
+def test_terminators_of_all_scripts(point):
+    text = f"Aaa bbb{chr(point)} Ccc ddd"
+    assert [text[a:b] for a, b in sentences(text)] == [f"Aaa bbb{chr(point)}", "Ccc ddd"]
+
+
+@pytest.mark.parametrize(
+    ("text", "size"),
+    [
+        ("Choose option d. Then go on.", 2),
+        ("He is my ex. She left.", 2),
+        ("We use vitamin z. It helps.", 2),
+        ("Wir nehmen z. B. den Wert. Es ist gut.", 2),
+        ("On prend p. ex. La mesure est bonne.", 1),
+        ("Es una prueba, p. ej. La mesura.", 1),
+        ("The note by Dr. Who is long. It ends.", 2),
+    ],
+)
+def test_abbreviations_hold_in_their_language(text, size):
+    assert len(sentences(text)) == size
+
+
+def test_the_declared_language_decides_where_no_word_does():
+    assert len(sentences("Wert z. Messung")) == 2 and len(sentences("Wert z. Messung", "de")) == 1
+
+
+@pytest.mark.parametrize("unit", ['He said "Stop it. Wait." and left. ', "`a.b` c. D", "a.b", "x. ", '"Yes." ', "1. ", '("a.") ', "”.”"])
+def test_time_grows_with_the_length_alone(unit):
+    import time
+
+    def seconds(size):
+        text = unit * (size // len(unit))
+        began = time.process_time()
+        sentences(text)
+        return time.process_time() - began
+
+    seconds(10_000)
+    assert seconds(1_000_000) < 4.0
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet='aB .!?"“”«»。、…\n`-#1)(ไท।\t', max_size=60))
 def test_all_text_is_in_just_one_sentence(text):
