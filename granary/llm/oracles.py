@@ -69,5 +69,6 @@ ORACLES: dict[str, str] = {
     "p5_found": ALIKE,
     "p5_groups": GROUPS,
     "p6_selected": SUBSETS,
+    "p7_fill": "SELECT capacity_id, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS n_docs, 0 AS n_broken, 0 AS n_over, true AS full FROM pack_capacities WHERE capacity_id IS NOT NULL",
     "p8_found": LEAKED,
 }

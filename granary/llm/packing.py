@@ -5,18 +5,23 @@ containers and a rest; everything else stays whole. Items are packed in shards o
 size: a best-fit start, then a local search that takes the emptiest container and moves its
 items out, exchanges one for one, two for one or one for two with other underfull containers,
 always so that the sum of squared fills rises, until the container is empty or no exchange
-helps. The underfull containers of all shards are opened again and packed together in
-further rounds, each over far fewer items, until one shard is left.
+helps. It ends when there are as few containers as their contents need, which proves that none
+can be emptied any more, or when its effort is spent. The underfull containers of all shards
+are opened again and dealt to new shards of the same bounded size, as long as that can still
+save a share of them worth a round.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import arrays, subwords
@@ -25,12 +30,20 @@ from granary.session import cut
 
 @dataclass(frozen=True)
 class Settings:
-    """shard: items packed together; merge: shards that a later round packs together; patience: failed containers after which a search ends."""
+    """How large shards are, and how much effort goes into the search; the README gives fills by effort.
+
+    shard: items packed together, in every round. sources: containers that may resist being
+    emptied, one after another, before a shard's search ends; partners: containers, emptiest
+    first, that each of them is offered to. least: share of the underfull containers that a
+    further round must be able to save; gained: share of what the last round could have saved
+    that it must have saved.
+    """
 
     shard: int = 25_000
-    merge: int = 64
-    patience: int = 40
-    partners: int = 400
+    sources: int = 200
+    partners: int = 2_000
+    least: float = 0.0005
+    gained: float = 0.1
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -125,12 +138,14 @@ class Search:
 
     def run(self, s: Settings) -> None:
         failed: set[int] = set()
-        while len(failed) < s.patience:
+        while len(failed) < s.sources:
             open_bins = sorted((f, b) for b, f in enumerate(self.fill) if 0 < f < self.capacity)
+            # no fewer containers can hold what these hold
+            if len(open_bins) <= -(-sum(f for f, _ in open_bins) // self.capacity):
+                return
             source = next((b for _, b in open_bins if b not in failed), None)
-            if source is None or len(open_bins) < 2:
+            if source is None:
                 return
-            # the containers with the largest gaps offer most room; at most ``partners`` are tried
             for _, target in open_bins[: s.partners]:
                 while target != source and self.fill[source] and self.fill[target] < self.capacity and self.improve(source, target):
                     pass
@@ -187,40 +202,48 @@ def containers(df: DataFrame, id: str, text: str, capacities: DataFrame, tokeniz
         .select("capacity_id", F.concat_ws("-", F.lit("f"), "id", "part").alias("container"), F.lit(1).alias("n_docs"), F.col("capacity").alias("n_tokens"), F.array(piece).alias("docs"))
     )
     rest = F.col("n_tokens") % F.col("capacity")
-    shards = max(1, -(-total // s.shard))
-    items = each.where(rest > 0).select("capacity_id", "capacity", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.col("id").alias("doc_id"), full.alias("part"), (full * F.col("capacity")).alias("first_token"), rest.alias("n_tokens"))
+    items = each.where(rest > 0).select("capacity_id", "capacity", F.xxhash64("id").alias("key"), F.col("id").alias("doc_id"), full.alias("part"), (full * F.col("capacity")).alias("first_token"), rest.alias("n_tokens"))
+    columns = ("capacity_id", "container", "n_docs", "n_tokens", "docs")
     done = [whole]
-    level = 0
-    while True:
-        packed = cut(items.groupBy("capacity_id", "shard").applyInArrow(packer(s, level, shards == 1), empty.replace("docs array", "open boolean, capacity int, shard long, docs array")))
-        done.append(packed.where("not open").select("capacity_id", "container", "n_docs", "n_tokens", "docs"))
-        if shards == 1:
-            break
-        shards = -(-shards // s.merge)
-        level += 1
-        items = packed.where("open").select("capacity_id", "capacity", F.floor(F.col("shard") / s.merge).alias("shard"), F.explode("docs").alias("d")).select("capacity_id", "capacity", "shard", "d.*")
-    result = done[0]
-    for part in done[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def packer(s: Settings, level: int, last: bool):
+    shards = {i: max(1, -(-total // s.shard)) for i, _ in wanted}
+    could: dict[int, tuple[int, int]] = {}
+    for level in count():
+        dealt = items.withColumn("shard", F.pmod("key", number_of(shards))).drop("key")
+        packed = cut(dealt.groupBy("capacity_id", "shard").applyInArrow(packer(s, level), empty.replace("docs array", "capacity int, docs array")))
+        under = packed.where("n_tokens < capacity").groupBy("capacity_id", "capacity").agg(F.count("*").alias("bins"), F.sum("n_docs").alias("items"), F.sum("n_tokens").alias("tokens"))
+        again = {}
+        for i, capacity, bins, held, tokens in under.collect():  # a row for each capacity
+            saving, (before, saved_from) = bins - -(-tokens // capacity), could.get(i, (0, 0))
+            worth = saving >= max(1, s.least * bins) and (not saved_from or before - bins >= s.gained * saved_from)
+            if shards[i] > 1 and worth:
+                again[i], could[i] = -(-held // s.shard), (bins, saving)
+        opened = F.col("capacity_id").isin(list(again)) & (F.col("n_tokens") < F.col("capacity")) if again else F.lit(False)
+        done.append(packed.where(~opened).select(*columns))
+        if not again:
+            return reduce(DataFrame.unionByName, done)
+        shards = again
+        items = packed.where(opened).select("capacity_id", "capacity", F.xxhash64("container", F.lit(level)).alias("key"), F.explode("docs").alias("d")).select("capacity_id", "capacity", "key", "d.*")
+
+
+def number_of(shards: dict[int, int]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for i, n in shards.items() for x in (i, n)]), F.col("capacity_id"))
+
+
+def packer(s: Settings, level: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending")])
         capacity, shard, capacity_id = (table.column(c)[0].as_py() for c in ("capacity", "shard", "capacity_id"))
         bins = pack(table.column("n_tokens").to_numpy().astype(np.int64), capacity, s)
         rows = table.select(["doc_id", "part", "first_token", "n_tokens"]).to_pylist()
-        names = ("capacity_id", "container", "n_docs", "n_tokens", "open", "capacity", "shard", "docs")
+        names = ("capacity_id", "container", "n_docs", "n_tokens", "capacity", "docs")
         out: dict[str, list] = {n: [] for n in names}
         for k, b in enumerate(bins):
             docs = [rows[i] for i in b]
-            size = sum(d["n_tokens"] for d in docs)
-            values = (capacity_id, f"{level}-{shard}-{k}", len(docs), size, not last and size < capacity, capacity, shard, docs)
+            values = (capacity_id, f"{level}-{shard}-{k}", len(docs), sum(d["n_tokens"] for d in docs), capacity, docs)
             for n, v in zip(names, values, strict=True):
                 out[n].append(v)
         piece = pa.struct([("doc_id", pa.int64()), ("part", pa.int32()), ("first_token", pa.int32()), ("n_tokens", pa.int32())])
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(piece))
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(piece))
         return pa.table({n: pa.array(out[n], t) for n, t in zip(names, kinds, strict=True)})
 
     return run

@@ -134,8 +134,17 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    packed = p7_containers(spark, d).groupBy("capacity_id").agg(F.count("*").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
-    return packed.join(table(spark, d, "pack_capacities"), "capacity_id").withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
+    """For each size: how many documents are held, how many of their tokens are missing or held twice, containers over the size, and whether 99 of 100 tokens of room are filled."""
+    packed = p7_containers(spark, d)
+    sizes = table(spark, d, "pack_capacities").where("capacity_id IS NOT NULL")
+    bins = packed.join(sizes, "capacity_id").groupBy("capacity_id").agg(
+        F.sum((F.col("n_tokens") > F.col("capacity_tokens")).cast("long")).alias("n_over"), (F.sum("n_tokens") / F.sum("capacity_tokens") >= 0.99).alias("full")
+    )
+    pieces = packed.select("capacity_id", F.explode("docs").alias("d")).select("capacity_id", "d.*")
+    held = pieces.groupBy("capacity_id", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.countDistinct("first_token").alias("starts"), F.max(F.col("first_token") + F.col("n_tokens")).alias("last"))
+    whole = (F.col("n") == F.col("last")) & (F.col("pieces") == F.col("starts"))
+    docs = held.groupBy("capacity_id").agg(F.count("*").alias("n_docs"), F.sum((~whole).cast("long")).alias("n_broken"))
+    return docs.join(bins, "capacity_id").select("capacity_id", "n_docs", "n_broken", "n_over", "full")
 
 
 # 8: leakage
