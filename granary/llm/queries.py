@@ -73,21 +73,22 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
 # 3: repetition
 
 
-def measured(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.repetition(table(spark, d, "training_rows"), "row_id", "response", ["lang"])
+RESPONSES = ("row_id", "response", ["lang"])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = measured(spark, d)
-    return repetition.heavy(repetition.rejected(rows, repetition.cutoffs(rows))).select(F.col("id").alias("row_id")).distinct()
+    rows = table(spark, d, "training_rows")
+    measured = repetition.repetition(rows, *RESPONSES, chosen=repetition.cutoffs(rows, *RESPONSES))
+    return repetition.heavy(measured).select(F.col("id").alias("row_id")).distinct()
 
 
 def p3_shares(spark: SparkSession, d: str) -> DataFrame:
-    return measured(spark, d).select(F.col("id").alias("row_id"), "n_words", "n_covered", F.round("repeated_share", 6).alias("repeated_share"))
+    measured = repetition.repetition(table(spark, d, "training_rows"), *RESPONSES)
+    return measured.select(F.col("id").alias("row_id"), "n_words", "n_covered", F.round("repeated_share", 6).alias("repeated_share"))
 
 
 def p3_cutoffs(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.cutoffs(measured(spark, d))
+    return repetition.cutoffs(table(spark, d, "training_rows"), *RESPONSES)
 
 
 # 4: broken pairs

@@ -87,4 +87,4 @@ def test_rounds_end_where_nothing_can_be_saved(spark):
     for r in out:
         key = r["container"].rsplit("-", 1)[0]
         shards[key] = shards.get(key, 0) + r["n_docs"]
-    assert max(shards.values()) < 120 and all(int(k.split("-")[0]) <= 3 for k in shards)
+    assert max(shards.values()) < 120 and all(int(k.split("-")[0]) <= 12 for k in shards)
