@@ -1,19 +1,24 @@
 """Credentials in source code and configuration files: places and offset-preserving masks.
 
-Every rule proposes spans with a context of a strength; what is proposed is cut into
-subwords of a public vocabulary, and few characters per subword mark a string that no one
-would write by hand. A context that proves a secret (a vendor's format, a private key, the
-user part of an address, a password's name) takes any value but a placeholder; a context
-that only allows one (a name that may as well hold a count or a word) takes unnatural
-values alone.
+The whole text is cut into subwords of a public vocabulary first. A string with few characters
+per subword is one that no one would write by hand, and every such string of the text is a
+candidate. Context rules then say what it is: an issued key, a private key, the user part of
+an address, an authorization header, the value of a name, an option or a call; what no rule
+explains, and what is a digest, an id or a placeholder, is no credential. How unnatural a value
+must be depends on its context: where the context proves a secret (a password's name, the
+user part of an address) nearly any value passes, as people make up passwords of words, and
+where it only allows one, the value must be a candidate.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +40,10 @@ ISSUED = re.compile(
 KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PUBLIC = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*(?:CERTIFICATE|PUBLIC KEY)[^\n-]*-----.*?(?:-----END [^\n]*?-----|\Z)", re.S)
-KEY_BODY = re.compile(r"(?:[ \t#/;*]*[A-Za-z0-9+/=]{1,76}[ \t]*\r?\n)*[ \t#/;*]*\Z")
+KEY_LINE = re.compile(r"[ \t#/;*]*[A-Za-z0-9+/=]{1,76}[ \t]*\r?\Z")
 KEY_REST = re.compile(r"(?:(?:\r?\n|\\n)[ \t#/;*]*[A-Za-z0-9+/=:,\- ]{0,80})*")
 USER_PART = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s:/@\"'`<>]*:([^\s/@\"'`<>]+)@")
+HEADER = re.compile(r"(?i)authorization")
 SCHEME = re.compile(r"\b(?:Basic|Bearer|Token|token|bearer|basic)[ \t]+([A-Za-z0-9+/=_\-.~]{8,})")
 NAME = r"[A-Za-zÀ-ɏЀ-ӿ一-鿿぀-ヿ_][\wÀ-ɏ.\-]*"
 TEXT = r"\"(?P<{0}d>(?:[^\"\\\n]|\\.)*)\"|'(?P<{0}s>(?:[^'\\\n]|\\.)*)'|`(?P<{0}b>[^`\n]*)`"
@@ -68,6 +74,17 @@ HINT = re.compile(r"(?i)pass|pwd|secret|key|token|cred|auth|kennwort|clave|contr
 ISSUERS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "k_live_", "k_test_", "AIza", "npm_", "hf_", "SG.", "ya29.", "pypi-", "dop_v1_", "eyJ")
 #: A string that no one writes by hand has fewer characters per subword than this.
 UNNATURAL = 2.6
+#: Under a name that holds a credential a value may be made of words, with up to so many characters per subword.
+BY_HAND = 7.0
+#: Candidates: runs without blanks, quotes, brackets and separators.
+STRING = re.compile(r"[^\s\"'`<>,;(){}\[\]]{8,}")
+# What may stand after the part of a name that says what it holds; marks between a name and its value.
+QUALIFIERS = frozenset("prod production dev development test testing staging stage live qa old new backup default value str string env primary secondary".split())
+BETWEEN = " \t\r\n\\\"'`(+|>-"
+ASSIGNS = "=:>"
+#: What makes a string the name of something itself.
+IS_NAME = re.compile(r"[A-Za-z_][\w.\-]*[\"']?[ \t]*[=:]")
+NAME_CHARS = re.compile(r"[\w.\-]")
 
 
 RULES = ((NAMED, "named"), (PAIRED, "named"), (OTHERWISE, "fallback"), (DEFAULT, "fallback"), (ELEMENT, "named"), (ATTRIBUTE, "named"), (SPACED, "option"))
@@ -80,10 +97,49 @@ class Found:
     kind: str
     per_subword: float
 
+    @property
+    def evidence(self) -> str:
+        """Whether the vocabulary proposed the value or its context alone."""
+        return "unnatural" if self.per_subword < UNNATURAL else "context"
+
+
+class Segments:
+    """Where the subwords of a text begin: characters per subword of any part of it."""
+
+    def __init__(self, text: str, path: str):
+        encoding = subwords.encoding(path)
+        sizes = subwords.byte_lengths(path)[np.array(encoding.encode_ordinary(text), dtype=np.int64)]
+        begins = np.cumsum(sizes) - sizes
+        if not text.isascii():
+            lead = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8) & 0xC0 != 0x80
+            # the character that holds each byte; a subword that begins inside a character counts there
+            begins = (np.cumsum(lead) - 1)[begins]
+        self.begins = begins
+
+    def unnatural(self, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Those of the spans that have few characters per subword."""
+        if not spans:
+            return []
+        edges = np.array(spans, dtype=np.int64)
+        first, last = np.searchsorted(self.begins, edges[:, 0]), np.searchsorted(self.begins, edges[:, 1])
+        split = self.begins[np.minimum(first, len(self.begins) - 1)] > edges[:, 0]
+        inside = last - first + (split | (first == last))
+        return edges[(edges[:, 1] - edges[:, 0]) < UNNATURAL * np.maximum(1, inside)].tolist()
+
+    def per_subword(self, start: int, end: int) -> float:
+        """Characters per subword from ``start`` to ``end``; a subword that reaches into the part counts as one of it."""
+        first, last = np.searchsorted(self.begins, [start, end])
+        inside = int(last - first) + (1 if first == last or self.begins[first] > start else 0)
+        return (end - start) / max(1, inside)
+
 
 def strength(name: str) -> int:
     """2: the name holds a credential; 1: it may; 0: it does not."""
-    parts = [p.lower() for p in SPLIT.findall(name)]
+    parts = [p.lower().rstrip("0123456789") for p in SPLIT.findall(name)]
+    parts = [p for p in parts if p]
+    # a qualifier stands in the last part of a dotted name, not for one: hosts end in such words
+    if len(SPLIT.findall(name.rpartition(".")[2])) > 1 and len(parts) > 1 and parts[-1] in QUALIFIERS:
+        parts.pop()
     for many in (4, 3, 2, 1):
         tail = "".join(parts[-many:])
         if tail in SURE_NAMES:
@@ -92,8 +148,8 @@ def strength(name: str) -> int:
 
 
 def plausible(value: str, sure: bool, per_subword: float, quoted: bool) -> bool:
-    """Whether a value under a credential's name is one."""
-    if PLACEHOLDER.match(value) or " " in value.strip() or len(value) < 4:
+    """Whether a value under a credential's name is one: by how unnatural it is, for what the name says, and by its characters."""
+    if per_subword >= BY_HAND or PLACEHOLDER.match(value) or " " in value.strip() or len(value) < 4:
         return False
     if not quoted and CODE.match(value) and not re.search(r"\d", value):
         return False
@@ -104,9 +160,34 @@ def plausible(value: str, sure: bool, per_subword: float, quoted: bool) -> bool:
         return sure and quoted and len(value) >= 6
     if re.fullmatch(r"[A-Za-z]+(?:[_\-.][A-Za-z]+)*", value):
         return len(value) >= 8 and per_subword < UNNATURAL and not re.search(r"[_\-.]", value)
-    if sure:
-        return kinds >= 2
-    return len(value) >= 8 and (per_subword < UNNATURAL or kinds >= 3)
+    return kinds >= 2 if sure else len(value) >= 8 and (per_subword < UNNATURAL or kinds >= 3)
+
+
+def name_before(text: str, at: int) -> str:
+    """The name that a string at ``at`` is the value of, also over one line break; empty without an assignment.
+
+    Over a line break the value must be quoted, in brackets or in a block, so that a name
+    without a value does not take the next line for one.
+    """
+    if IS_NAME.match(text, at):
+        return ""
+    k = at
+    while k and text[k - 1] in BETWEEN:
+        k -= 1
+    passed = text[k:at]
+    if "\n" in passed and (passed.count("\n") > 1 or not passed.strip(" \t\r\n")):
+        return ""
+    marked = any(x in ASSIGNS for x in passed)
+    while k and text[k - 1] in ASSIGNS:
+        k, marked = k - 1, True
+    if not marked:
+        return ""
+    while k and text[k - 1] in " \t\"'`])":
+        k -= 1
+    end = k
+    while k and NAME_CHARS.match(text[k - 1]):
+        k -= 1
+    return text[k:end]
 
 
 def hinted_lines(text: str) -> Iterator[tuple[int, int, int]]:
@@ -123,31 +204,47 @@ def hinted_lines(text: str) -> Iterator[tuple[int, int, int]]:
             return
 
 
+def key_start(text: str, end: int) -> int:
+    """Where the lines of a private key begin whose footer begins at ``end`` and whose header is lost."""
+    line = text.rfind("\n", 0, end) + 1
+    if text[line:end].strip(" \t#/;*"):
+        return end
+    begin = end
+    while line:
+        before = text.rfind("\n", 0, line - 1) + 1
+        if not KEY_LINE.match(text[before : line - 1]):
+            break
+        begin = before + len(text[before : line - 1]) - len(text[before : line - 1].lstrip(" \t#/;*"))
+        line = before
+    return begin
+
+
 def find(text: str, path: str) -> list[Found]:
-    """Credential values of one text, by place; of overlapping proposals the longer one."""
+    """Credential values of one text, by place; of overlapping ones the longer."""
     found: list[Found] = []
-
-    def per(value: str) -> float:
-        return len(value) / max(1, len(subwords.encoding(path).encode_ordinary(value)))
+    segments = Segments(text, path)
+    per = segments.per_subword
+    candidates = segments.unnatural([m.span() for m in STRING.finditer(text)])
 
     def add(start: int, end: int, kind: str) -> None:
         if end > start:
-            found.append(Found(start, end, kind, per(text[start:end][:4096])))
+            found.append(Found(start, end, kind, per(start, end)))
 
-    framed = "-----" in text
+    framed, closed = "-----" in text, set()
     for m in KEY_BEGIN.finditer(text) if framed else ():
         end = KEY_END.search(text, m.end())
         other = KEY_BEGIN.search(text, m.end())
         if end and (not other or end.start() < other.start()):
-            add(m.start(), end.end(), "private_key")
+            last, body = end.end(), end.start()
+            closed.add(last)
         else:
-            rest = KEY_REST.match(text, m.end())
-            add(m.start(), m.end() + len(rest[0].rstrip()), "private_key")
+            last = body = m.end() + len(KEY_REST.match(text, m.end())[0].rstrip())
+        # a description in place of the key's letters is no key
+        if not text[m.end() : body].strip() or per(m.end(), body) < UNNATURAL:
+            add(m.start(), last, "private_key")
     for m in KEY_END.finditer(text) if framed else ():
-        if not any(f.kind == "private_key" and f.end == m.end() for f in found):
-            body = KEY_BODY.search(text, 0, m.start())
-            begin = body.start() + len(body[0]) - len(body[0].lstrip(" \t#/;*\r\n")) if body and body[0].strip() else m.start()
-            add(begin, m.end(), "private_key")
+        if m.end() not in closed:
+            add(key_start(text, m.start()), m.end(), "private_key")
     shut = [(f.start, f.end) for f in found] + ([m.span() for m in PUBLIC.finditer(text)] if framed else [])
 
     def free(start: int, end: int) -> bool:
@@ -168,20 +265,23 @@ def find(text: str, path: str) -> list[Found]:
             scheme = SCHEME.fullmatch(value)
             if scheme:
                 continue
-            if plausible(value, sure, per(value), quoted):
+            if plausible(value, sure, per(start, end), quoted):
                 add(start, end, kind)
 
     for m in ISSUED.finditer(text) if any(x in text for x in ISSUERS) else ():
-        if free(*m.span()):
+        if free(*m.span()) and per(*m.span()) < UNNATURAL:
             add(*m.span(), "issued_key")
             shut.append(m.span())
     for m in USER_PART.finditer(text) if "://" in text and "@" in text else ():
-        if not PLACEHOLDER.match(m[1]) and free(*m.span(1)) and not re.fullmatch(r"\d{2,5}", m[1]):
+        if not PLACEHOLDER.match(m[1]) and free(*m.span(1)) and not re.fullmatch(r"\d{2,5}", m[1]) and per(*m.span(1)) < BY_HAND:
             add(*m.span(1), "address")
             shut.append(m.span(1))
-    for m in SCHEME.finditer(text) if "uthorization" in text or "UTHORIZATION" in text else ():
-        before = text[max(0, m.start() - 40) : m.start()].lower()
-        if "authorization" in before and not PLACEHOLDER.match(m[1]) and (per(m[1]) < UNNATURAL or re.search(r"\d", m[1])) and free(*m.span(1)):
+    headers = [m.end() for m in HEADER.finditer(text)]
+    for m in SCHEME.finditer(text) if headers else ():
+        k = bisect_right(headers, m.start())
+        # the header's name stands before, in the same line or the one before it
+        named = k and text.count("\n", headers[k - 1], m.start()) <= 1
+        if named and not PLACEHOLDER.match(m[1]) and (per(*m.span(1)) < UNNATURAL or re.search(r"\d", m[1])) and free(*m.span(1)):
             add(*m.span(1), "authorization")
             shut.append(m.span(1))
     for begin, end, after in hinted_lines(text):
@@ -196,6 +296,16 @@ def find(text: str, path: str) -> list[Found]:
         for pattern in LOGINS:
             for m in pattern.finditer(text, begin, end):
                 propose(m, "login", True)
+    found.sort(key=lambda f: f.start)
+    starts, ends = [f.start for f in found], list(accumulate((f.end for f in found), max))
+    for start, end in candidates:
+        k = bisect_left(starts, end)
+        if k and ends[k - 1] > start:
+            continue
+        level = strength(name_before(text, start))
+        value = text[start:end]
+        if level and free(start, end) and "://" not in value and plausible(value, level == 2, per(start, end), text[start - 1 : start] in ("'", '"', "`")):
+            add(start, end, "apart")
     found.sort(key=lambda f: (f.start, -(f.end - f.start)))
     kept: list[Found] = []
     for f in found:
@@ -218,8 +328,9 @@ def masked(text: str, spans: list[Found], mark: str = "*") -> str:
 
 
 def find_credentials(df: DataFrame, id: str, text: str, tokenizer: str | None = None) -> DataFrame:
-    """(id, start_char, end_char, kind, chars_per_subword), one row per credential value of ``df``.
+    """(id, start_char, end_char, kind, evidence, chars_per_subword), one row per credential value of ``df``.
 
+    evidence: "unnatural" where the vocabulary proposed the value, "context" where only its name did.
     Null and empty texts have none; repeated rows give repeated spans; other columns are not
     read. tokenizer: path of the vocabulary on the executors.
     """
@@ -233,12 +344,13 @@ def find_credentials(df: DataFrame, id: str, text: str, tokenizer: str | None =
                 "start_char": pa.array([f.start for _, f in rows], pa.int32()),
                 "end_char": pa.array([f.end for _, f in rows], pa.int32()),
                 "kind": pa.array([f.kind for _, f in rows], pa.string()),
+                "evidence": pa.array([f.evidence for _, f in rows], pa.string()),
                 "chars_per_subword": pa.array([f.per_subword for _, f in rows], pa.float64()),
             }
         )
 
     narrow = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return arrays.arrow_map(narrow, run, "id long, start_char int, end_char int, kind string, chars_per_subword double")
+    return arrays.arrow_map(narrow, run, "id long, start_char int, end_char int, kind string, evidence string, chars_per_subword double")
 
 
 def redact_credentials(df: DataFrame, id: str, text: str, tokenizer: str | None = None) -> DataFrame:

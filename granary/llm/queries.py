@@ -62,6 +62,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+def p2_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many values of each kind the vocabulary proposed, and how many their context alone."""
+    found = [credentials.find_credentials(table(spark, d, name), id, text).select(F.lit(name).alias("record_table"), "kind", "evidence") for name, id, text in CODE_TABLES]
+    return reduce(DataFrame.unionByName, found).groupBy("record_table", "kind", "evidence").agg(F.count("*").alias("n"))
+
+
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     found = [
         credentials.redact_credentials(table(spark, d, name), id, text).select(F.lit(name).alias("record_table"), F.col("id").alias("record_id"), "text", "n_masked")
