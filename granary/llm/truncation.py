@@ -21,7 +21,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import arrays, words
@@ -38,8 +38,11 @@ FINAL = ".!?。！？।؟؛"
 CLOSERS = "\"'”’»)]}）】」』*_"
 OPEN = ",;:([{（「『“„«-–—=+/<&|"
 UNIT_END = re.compile(r"[.!?](?=[\"”»)*]*\s+(?![a-zß-ÿа-я])\S)|[。！？।]|\n(?=\n|```|[-*] |\d+[.)] )")
-#: The last words of texts below this many characters are no evidence: short answers are no sentences.
+#: The last words of texts below this many characters are evidence only in a sentence that is known from elsewhere: short answers are no sentences.
 SHORT = 25
+#: Words of such a sentence, and how often its end must be known.
+LEAST_WORDS = 5
+LEAST_SEEN = 3
 #: A full stop that may stand inside a sentence: after a number or a short word.
 INNER_STOP = re.compile(r"(?:\d|\b[^\W\d_]{1,3})\.\Z")
 DANGLING = re.compile(r"\n[ \t]*(?:[-*+#]+|`{1,2}|\d{1,3}\.?)\Z")
@@ -387,15 +390,30 @@ def closed_odds(texts: list[str], seed: int) -> tuple[float, float]:
     return min(plain, 0.0), min(stop, 0.0)
 
 
+def known_endings(bodies: list[str], counts: np.ndarray) -> np.ndarray:
+    """Whether each short text is a sentence whose last three words stand elsewhere, too, or that breaks off in an unknown word after a known pair."""
+    w = words.words(bodies, digits_equal=True)
+    size = np.bincount(w.row, minlength=len(bodies))
+    last = np.cumsum(size) - 1
+    held = np.flatnonzero(size >= LEAST_WORDS)
+    known = np.zeros(len(bodies), dtype=bool)
+    if len(held):
+        one, two, three = (context_slots(w, order) for order in (1, 2, 3))
+        end = last[held]
+        known[held] = (counts[three[end]] >= LEAST_SEEN) | ((counts[one[end]] == 0) & (counts[two[end - 1]] >= LEAST_SEEN))
+    return known
+
+
 def ending_odds(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log odds that each text is cut, by its ending alone, whether the model gave them, whether they count at a limit only).
 
-    -inf for blank texts. Texts with a final mark, and short ones without a mark of a cut or an
-    open block of code, are cut by a limit or not at all.
+    -inf for blank texts. Texts with a final mark, and short ones whose end is not known from
+    other texts, without a mark of a cut or an open block of code, are cut by a limit or not at all.
     """
     odds, learned, bound = np.full(len(texts), -np.inf), np.zeros(len(texts), dtype=bool), np.zeros(len(texts), dtype=bool)
     asked: list[int] = []
     bodies: list[str] = []
+    short: list[tuple[int, str]] = []
     for k, x in enumerate(texts):
         body, marked = open_ending(x)
         if not WORDLIKE.search(body):
@@ -408,9 +426,15 @@ def ending_odds(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray,
             odds[k] = 6.0
         elif len(body) < SHORT:
             odds[k], bound[k] = 0.0, True
+            short.append((k, body))
         else:
             asked.append(k)
             bodies.append(body)
+    for (k, body), known in zip(short, known_endings([b for _, b in short], model.counts) if short else (), strict=True):
+        if known:
+            bound[k] = False
+            asked.append(k)
+            bodies.append(body)
     if asked:
         odds[asked] = endings(bodies, model.counts) @ model.weights + model.prior
         learned[asked] = True
@@ -448,13 +472,22 @@ def source_shares(odds: DataFrame, settings: Settings = Settings()) -> DataFrame
     return counted.groupBy("source").applyInArrow(run, "source string, share double")
 
 
-def distinct_sample(texts: DataFrame, settings: Settings) -> list[str]:
-    """The lowest distinct texts by hash. A text counts once however often it stands there."""
+def lowest_texts(texts: DataFrame, settings: Settings) -> DataFrame:
+    """(text, hash): about as many distinct texts as the sample has, those with the lowest hashes; rather more than fewer.
+
+    Where to stop follows from an estimate of how many distinct ones there are, so that what is
+    fetched does not depend on the number of tasks.
+    """
     hashed = texts.where(F.length("text") >= settings.least).select("text", F.xxhash64("text").alias("hash"))
-    bound = hashed.select("hash").distinct().orderBy("hash").limit(settings.sample).agg(F.max("hash").alias("hash")).first()["hash"]
-    if bound is None:
-        return []
-    return [row["text"] for row in hashed.where(F.col("hash") <= bound).distinct().orderBy("hash", "text").limit(settings.sample).collect()]
+    known = hashed.agg(F.approx_count_distinct("hash", 0.02)).first()[0]
+    wanted = 1.05 * (settings.sample + 5 * math.sqrt(settings.sample) + 10)
+    share = wanted / known if known else 1.0
+    return (hashed if share >= 1 else hashed.where(F.col("hash") <= int(-(1 << 63) + share * ((1 << 64) - 1)))).distinct()
+
+
+def distinct_sample(texts: DataFrame, settings: Settings) -> list[str]:
+    """At most ``settings.sample`` distinct texts, those with the lowest hashes. A text counts once however often it stands there."""
+    return [row["text"] for row in lowest_texts(texts, settings).orderBy("hash", "text").limit(settings.sample).collect()]
 
 
 def fit(texts: DataFrame, settings: Settings = Settings()) -> Model:
@@ -514,14 +547,32 @@ def lengths_of(df: DataFrame, id: str, text: str, source: str) -> DataFrame:
     return rows.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))).alias("x")).select("source", "x.unit", "x.length")
 
 
-def truncated_tokens(df: DataFrame, id: str, ids: str, end_token: int, settings: Settings = Settings()) -> DataFrame:
-    """(id, n_tokens, censored, cut): sequences that lost their end.
+@dataclass(frozen=True)
+class Ends:
+    """How sure an end id is: the chance that a whole sequence lacks it, and that a cut one ends with it all the same."""
+
+    lost: float = 1e-3
+    forged: float = 1e-6
+
+    def odds(self, ended: Column) -> Column:
+        """Log odds of a cut by the last id alone."""
+        return F.when(ended, math.log(self.forged / (1 - self.lost))).otherwise(math.log((1 - self.forged) / self.lost))
+
+
+def truncated_tokens(df: DataFrame, id: str, ids: str, end_token: int, settings: Settings = Settings(), ends: Ends = Ends()) -> DataFrame:
+    """(id, n_tokens, censored, cut_odds, cut): sequences that lost their end.
 
-    The lengths give the training length as for texts; the ending evidence is the missing end
-    token, which alone decides: a sequence that holds it is whole even at the limit, one
-    without it is cut whatever its flag says. Null and empty sequences are not cut.
+    The lengths give the training length as for texts, and a sequence of just that length has
+    the posterior that it was censored there; any other has the share of cuts of all those at
+    no limit, estimated from all of them. The last id is the evidence that is added. Null and
+    empty sequences are not cut; what a flag says is not read.
     """
-    rows = df.select(F.col(id).cast("long").alias("id"), F.size(F.coalesce(F.col(ids), F.array())).cast("long").alias("n_tokens"), F.element_at(F.when(F.size(ids) > 0, F.col(ids)), -1).alias("last")).withColumn("source", F.lit(""))
-    limits = length_limits(rows.where("n_tokens > 0").select("source", F.lit("tokens").alias("unit"), F.col("n_tokens").alias("length")), settings)
-    joined = rows.join(limits.select(F.col("length").alias("n_tokens"), "censored"), "n_tokens", "left")
-    return joined.select("id", "n_tokens", "censored", F.coalesce((F.col("n_tokens") > 0) & (F.col("last") != end_token), F.lit(False)).alias("cut"))
+    ended = F.element_at(F.when(F.size(ids) > 0, F.col(ids)), -1) == end_token
+    rows = df.select(F.col(id).cast("long").alias("id"), F.size(F.coalesce(F.col(ids), F.array())).cast("long").alias("n_tokens"), F.coalesce(ended, F.lit(False)).alias("ended"))
+    limits = length_limits(rows.where("n_tokens > 0").select(F.lit("").alias("source"), F.lit("tokens").alias("unit"), F.col("n_tokens").alias("length")), settings)
+    known = rows.join(limits.select(F.col("length").alias("n_tokens"), "censored"), "n_tokens", "left").withColumn("odds", ends.odds(F.col("ended")))
+    free = known.where("n_tokens > 0 and censored is null").groupBy("odds").agg(F.count("*").alias("n")).collect()  # two rows
+    share = cut_share(np.array([r["odds"] for r in free]), np.array([r["n"] for r in free], dtype=float)) if free else 0.3
+    held = F.when(F.col("censored") > 0.999, F.lit(0.999)).otherwise(F.col("censored"))
+    both = F.when(F.col("n_tokens") == 0, F.lit(-30.0)).otherwise(F.col("odds") + F.coalesce(F.log(held / (1 - held)), F.lit(math.log(share / (1 - share)))))
+    return known.withColumn("cut_odds", both).withColumn("cut", F.col("cut_odds") >= math.log(settings.threshold / (1 - settings.threshold))).select("id", "n_tokens", "censored", "cut_odds", "cut")

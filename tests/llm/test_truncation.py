@@ -87,6 +87,31 @@ def test_one_text_in_many_rows_is_drawn_once(spark):
         assert len(drawn) == len(set(drawn)) == min(size, len({r[0] for r in rows if len(r[0]) >= 60}))
 
 
+def test_the_sample_does_not_grow_with_the_tasks(spark):
+    df = spark.range(100_000).selectExpr("concat('The parcel of number ', id, ' waits in the old window of the garden today') AS text")
+    sizes = {n: truncation.lowest_texts(df.repartition(n), truncation.Settings(sample=1000)).count() for n in (4, 64)}
+    assert sizes[4] == sizes[64] and 1000 <= sizes[4] <= 1400
+    assert len(truncation.distinct_sample(df, truncation.Settings(sample=1000))) == 1000
+
+
+def test_short_sentences_are_judged_where_their_end_is_known(spark):
+    rng = random.Random(6)
+    texts = [text(rng) + " The buffer then moves to the left side of the garden." for _ in range(400)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "id long, t string, source string")
+    model = truncation.fit(df.selectExpr("t AS text"), truncation.Settings(sample=400))
+    odds, learned, bound = truncation.ending_odds(["The buffer then moves t", "The buffer then moves to", "O(n log n)", "Yes", "So it is all done now"], model)
+    assert (odds[:2] > 2).all() and learned[:2].all() and not bound[:2].any()
+    assert bound[2:].all() and not learned[2:].any()
+
+
+def test_ends_and_lengths_of_sequences_meet(spark):
+    rows = [(i, [1] + [5] * (3 + i % 40) + [2]) for i in range(200)] + [(1000 + i, [1] + [5] * 49) for i in range(60)] + [(2000, [1] + [5] * 48 + [2]), (2001, [5, 5])]
+    df = spark.createDataFrame(rows, "id long, ids array<int>")
+    out = {r["id"]: r for r in truncation.truncated_tokens(df, "id", "ids", 2).collect()}
+    assert {i for i, r in out.items() if r["cut"]} == {*range(1000, 1060), 2001}
+    assert out[1000]["censored"] > 0.5 and out[1000]["cut_odds"] > out[2001]["cut_odds"] and out[2000]["cut_odds"] > out[0]["cut_odds"]
+
+
 def test_shares_of_cuts_come_from_all_rows_by_source(spark):
     rows = [(s, 3.0 if i % 100 < share else -3.0) for s, share in (("many", 70), ("few", 5)) for i in range(4000)]
     df = spark.createDataFrame(rows, "source string, odds double")
