@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import arrays, credentials, leakage, packing, pairs, repetition, sentences, subset, truncation
 from granary.llm.neardup import Alike, NearDuplicates
+from granary.session import cut
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -103,12 +104,13 @@ def p3_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "training_rows")
     limits = truncation.length_limits(truncation.lengths_of(rows, "row_id", "response", "source"))
-    cut = truncation.truncated(rows, "row_id", "response", "source", ending_model(spark, d), limits)
-    return pairs.defects(rows, "row_id", cut).withColumnRenamed("id", "row_id")
+    broken = truncation.truncated(rows, "row_id", "response", "source", ending_model(spark, d), limits)
+    return pairs.defects(rows, "row_id", broken).withColumnRenamed("id", "row_id")
 
 
 def p4_templates(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.templates(pairs.beginnings(pairs.marks(table(spark, d, "training_rows"), "row_id")))
+    marked = cut(pairs.marks(table(spark, d, "training_rows"), "row_id"))
+    return pairs.declining(marked).where(F.col("n_prompts") >= pairs.Settings().prompts)
 
 
 # 5: near-duplicates
