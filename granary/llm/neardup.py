@@ -11,16 +11,21 @@ possible overlap is below the least overlap that the threshold asks of their siz
 passes at the leaves is verified on the whole sets, so the result is exact.
 
 Tokens are counted over all records in slots, eight for each record up to 2^24; the counts
-only define the order "rare first" (any common order gives the same result). A token of more
-than ``hot`` records, and of more than four times the mean of the slots, is split into blocks
-of records, and each pair of blocks gets a tree of its own. As the bound follows the mean, few
-tokens are split at any size of the collection, and few postings are sent more than once.
+only define the order "rare first" (any common order gives the same result). Where a language
+is used up, each token's records grow with the collection and the pairs in its tree with their
+square. So a token of more than ``common`` records, and of more than four times the mean of the
+slots, has no tree; in its place stand pairs of such tokens, neighbours in the order of their
+hashes within the record, the edges included. A token that the other set lacks breaks two of
+these pairs at most, one that it has besides breaks one; the prefix bound counts both, so that
+no alike records are missed (``bounds``). Pairs are counted and ordered like tokens. A token or
+pair of more than ``hot`` records, and of more than four times the mean, is split into blocks
+of records, and each pair of blocks gets a tree of its own.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -47,6 +52,7 @@ class Alike:
     most_slots: int = 1 << 24
     bitmap_words: int = 3
     fan_out: int = 8
+    common: int = 500
     hot: int = 8192
     postings_per_tree: int = 500_000
     #: Bits of the filter for the records that stand in a candidate pair, whose sets are needed again.
@@ -116,24 +122,80 @@ def hot_bound(counts: np.ndarray, a: Alike) -> int:
     return max(a.hot, math.ceil(4 * float(counts.mean())))
 
 
-def expected_postings(counts: np.ndarray, a: Alike) -> int:
-    """About how many postings are sent if every token stands in prefixes as often as any other, those of split tokens repeated."""
-    n = counts.astype(np.float64)
-    return math.ceil(float((n * np.ceil(n / hot_bound(counts, a))).sum()) * float(1 - a.ratio))
+def common_bound(counts: np.ndarray, a: Alike) -> int:
+    """Records from which a token is taken with its neighbour only; below a threshold of a half the pairs prove nothing."""
+    return max(a.common, math.ceil(4 * float(counts.mean()))) if a.ratio * 2 >= 1 else arrays.MOST
 
 
-def postings(sets: Sets, order: np.ndarray, hot: int, a: Alike) -> tuple[np.ndarray, ...]:
-    """(token, text, whether the token binds the shorter of a pair, side) of each prefix."""
+def expected_postings(counts: np.ndarray, a: Alike, joint: np.ndarray | None = None) -> int:
+    """About how many postings are sent if every token and pair stands in prefixes as often as any other, those of split ones repeated."""
+    n = counts[counts <= common_bound(counts, a)].astype(np.float64) if joint is not None else counts.astype(np.float64)
+    total = float((n * np.ceil(n / hot_bound(counts, a))).sum())
+    if joint is not None:
+        m = joint.astype(np.float64)
+        total += float((m * np.ceil(m / hot_bound(joint, a))).sum())
+    return math.ceil(total * float(1 - a.ratio))
+
+
+EDGE = np.uint64(1 << 60)
+
+
+def neighbours(row: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every two tokens that follow each other among a text's sorted tokens, its edges counted as tokens."""
+    if not len(row):
+        return row, token
+    opens = np.append(True, row[1:] != row[:-1])
+    closes = np.append(opens[1:], True)
+    before = np.append(EDGE, token[:-1])
+    before[opens] = EDGE
+    left, right = np.concatenate([before, token[closes]]), np.concatenate([token, np.full(closes.sum(), EDGE)])
+    return np.concatenate([row, row[closes]]), words.mix(words.mix(left + np.uint64(1)) + right) & TOKEN_MASK
+
+
+def bounds(size: np.ndarray, share: Fraction, shorter: bool) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens a set of a pair that is alike can lack in the other, and how many neighbour pairs that breaks at most.
+
+    With sizes s and r of this set and the other one the overlap is o >= c (s + r), c = share / (1 + share).
+    s - o tokens are lacking and break two pairs each, r - o are added and break one each:
+    2 s + r - 3 o <= s (2 - 3 c) + r (1 - 3 c), most for the least r, as 1 - 3 c <= 0 from a share of a half on.
+    """
+    c = share / (1 + share)
+    least = Fraction(1) if shorter else share
+    broken = 2 - 3 * c + least * (1 - 3 * c)
+    return prefix_length(size, 2 * c if shorter else share) - 1, broken.numerator * size // broken.denominator
+
+
+def in_prefix(rank: np.ndarray, pair: np.ndarray, size: np.ndarray, singles: np.ndarray, share: Fraction, shorter: bool) -> np.ndarray:
+    """Whether all before each place can be missing in an alike set: tokens first, then pairs; each lacking token costs its own place or two pairs."""
+    lacking, broken = bounds(size, share, shorter)
+    return np.where(pair, (singles <= lacking) & (rank - singles <= broken - 2 * singles), rank <= lacking)
+
+
+def postings(sets: Sets, order: np.ndarray, hot: int, a: Alike, joint: np.ndarray | None = None, common: int = arrays.MOST, split: int | None = None) -> tuple[np.ndarray, ...]:
+    """(token, text, whether the token binds the shorter of a pair, side) of each prefix.
+
+    With ``joint``, the counts of neighbour pairs, tokens of more than ``common`` records are
+    replaced by these pairs, which are split from ``split`` records on.
+    """
     t = a.ratio
-    slot = (sets.token & np.uint64(len(order) - 1)).astype(np.int64)
-    by = np.argsort((sets.row.astype(np.uint64) << np.uint64(32)) | order[slot].astype(np.uint64), kind="stable")
-    row = sets.row[by]
-    first = np.cumsum(sets.size) - sets.size
-    rank = np.arange(len(row)) - first[row]
-    held = rank < prefix_length(sets.size, t)[row]
-    row, rank, token = row[held], rank[held], sets.token[by[held]]
-    short = rank < prefix_length(sets.size, 2 * t / (1 + t))[row]
-    blocks = -(-order[slot[by[held]]].astype(np.int64) // hot)
+    row, token = sets.row, sets.token
+    count = order[(token & np.uint64(len(order) - 1)).astype(np.int64)].astype(np.int64)
+    blocks, pair = -(-count // hot), np.zeros(len(row), dtype=bool)
+    singles = sets.size
+    if joint is not None and (often := count > common).any():
+        where, both = neighbours(row[often], token[often])
+        met = joint[(both & np.uint64(len(joint) - 1)).astype(np.int64)].astype(np.int64)
+        singles = np.bincount(row[~often], minlength=len(sets.size))
+        pair = np.append(pair[~often], np.ones(len(both), dtype=bool))
+        row, token, count = np.append(row[~often], where), np.append(token[~often], both), np.append(count[~often], met)
+        blocks = np.append(blocks[~often], -(-met // (split or hot)))
+    by = np.argsort((row.astype(np.uint64) << np.uint64(33)) | (pair.astype(np.uint64) << np.uint64(32)) | count.astype(np.uint64), kind="stable")
+    row, token, pair, blocks = row[by], token[by], pair[by], blocks[by]
+    length = np.bincount(row, minlength=len(sets.size))
+    rank = np.arange(len(row)) - (np.cumsum(length) - length)[row]
+    held = in_prefix(rank, pair, sets.size[row], singles[row], t, False)
+    row, rank, token, pair, blocks = row[held], rank[held], token[held], pair[held], blocks[held]
+    short = in_prefix(rank, pair, sets.size[row], singles[row], t, True)
     side = np.zeros(len(row), dtype=np.uint8)
     many = blocks > 1
     if not many.any():
@@ -144,8 +206,8 @@ def postings(sets: Sets, order: np.ndarray, hot: int, a: Alike) -> tuple[np.ndar
     each = np.repeat(np.arange(len(r)), k)
     other = np.arange(len(each)) - np.repeat(np.cumsum(k) - k, k)
     own, low = own[each], np.minimum(own[each], other)
-    pair = low * (1 << 20) + np.maximum(own, other)
-    tree = words.mix(tok[each] ^ words.mix(pair.astype(np.uint64) + np.uint64(1))) & TOKEN_MASK
+    met = low * (1 << 20) + np.maximum(own, other)
+    tree = words.mix(tok[each] ^ words.mix(met.astype(np.uint64) + np.uint64(1))) & TOKEN_MASK
     which = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.uint8)
     return (
         np.concatenate([token[~many], tree]),
@@ -168,14 +230,14 @@ def unseen(sets: Sets, seen: set[int]) -> np.ndarray:
     return once
 
 
-def emit(batch: pa.RecordBatch, order: np.ndarray, hot: int, trees: int, a: Alike, seen: set[int]) -> pa.RecordBatch:
+def emit(batch: pa.RecordBatch, prefixes: Callable[[Sets], tuple[np.ndarray, ...]], trees: int, a: Alike, seen: set[int]) -> pa.RecordBatch:
     """For each group of trees one packed row of the batch's classes and their tokens there."""
     group: list[int] = []
     packed: list[bytes] = []
     for _, sets in chunk_sets(batch, a.shingle):
         once = unseen(sets, seen)
         bits = bitmaps(sets, a.bitmap_words)
-        token, row, short, side = postings(sets, order, hot, a)
+        token, row, short, side = prefixes(sets)
         keep = once[row]
         token, row, short, side = token[keep], row[keep], short[keep], side[keep]
         at = (token % np.uint64(trees)).astype(np.int64)
@@ -305,23 +367,41 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, id: str, columns: list[str], alike: Alike = Alike()):
         self.alike = alike
         self.spark = df.sparkSession
+        self.counts: tuple[np.ndarray, np.ndarray] | None = None
         self.texts = df.where(F.col(id).isNotNull()).select(
             F.col(id).cast("long").alias("id"), F.concat_ws(" ", *[arrays.text(c) for c in columns]).alias("text")
         )
 
     def members(self) -> DataFrame:
-        """(id, class id, set size) of each record with a token."""
-        n = self.alike.shingle
-
-        def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [s for _, s in chunk_sets(batch, n)]
-            key, size = np.concatenate([s.key for s in found]), np.concatenate([s.size for s in found])
-            held = size > 0
-            return pa.RecordBatch.from_pydict(
-                {"id": batch.column("id").filter(pa.array(held)), "key": pa.array(key[held]), "size": pa.array(size[held].astype(np.int32))}
-            )
+        """(id, class id, set size) of each record with a token; the same pass over the texts counts the neighbour pairs."""
+        a, counts = self.alike, self.token_counts()
+        slots, bound = len(counts), common_bound(counts, a)
+        often = self.spark.sparkContext.broadcast(np.packbits(counts > bound, bitorder="little"))
 
-        return arrays.arrow_map(self.texts, keys, "id long, key long, size int").distinct()
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, seen = np.zeros(slots, dtype=np.int64), set()
+            for batch in batches:
+                found = []
+                for _, sets in chunk_sets(batch, a.shingle):
+                    found.append(sets)
+                    held = unseen(sets, seen)[sets.row] & arrays.in_bitmap(often.value, sets.token)
+                    np.add.at(total, (neighbours(sets.row[held], sets.token[held])[1] & np.uint64(slots - 1)).astype(np.int64), 1)
+                if found:
+                    key, size = np.concatenate([s.key for s in found]), np.concatenate([s.size for s in found])
+                    held = size > 0
+                    yield of(id=batch.column("id").filter(pa.array(held)), key=pa.array(key[held]), size=pa.array(size[held].astype(np.int32)))
+            yield of(**arrays.blocks_of(total))
+
+        schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
+
+        def of(**columns: pa.Array) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+        once = cut(self.texts.mapInArrow(keys, "id long, key long, size int, block int, counts binary"))
+        joint = arrays.added(once.where("block IS NOT NULL").select("block", "counts"), slots)
+        self.counts = counts, joint
+        return once.where("block IS NULL").select("id", "key", "size").distinct()
 
     def token_counts(self) -> np.ndarray:
         """How often tokens fall in each slot, each class once a task; the number of slots follows the number of records."""
@@ -338,16 +418,17 @@ class NearDuplicates:
 
     def candidates(self) -> DataFrame:
         """Pairs of classes (a < b) that the trees could not tell apart."""
-        a = self.alike
-        counts = self.token_counts()
-        hot = hot_bound(counts, a)
-        trees = max(shuffle_width(self.spark), math.ceil(expected_postings(counts, a) / a.postings_per_tree))
-        shared = self.spark.sparkContext.broadcast(counts.view(np.uint32))
+        if self.counts is None:
+            self.members()
+        a, (counts, joint) = self.alike, self.counts
+        common, hot, split = common_bound(counts, a), hot_bound(counts, a), hot_bound(joint, a)
+        trees = max(shuffle_width(self.spark), math.ceil(expected_postings(counts, a, joint) / a.postings_per_tree))
+        shared = self.spark.sparkContext.broadcast((counts.view(np.uint32), joint.view(np.uint32)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for batch in batches:
-                yield emit(batch, shared.value, hot, trees, a, seen)
+                yield emit(batch, lambda sets: postings(sets, shared.value[0], hot, a, shared.value[1], common, split), trees, a, seen)
 
         packed = self.texts.select("text").mapInArrow(run, "tree int, packed binary")
         found = packed.groupBy("tree").applyInArrow(lambda table: traverse(table, a), "a long, b long")

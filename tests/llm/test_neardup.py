@@ -38,6 +38,34 @@ def test_pairs_equal_brute_force(spark, n, share, hot):
     assert {(r["id_a"], r["id_b"]) for r in found.collect()} == brute(rows, n, share)
 
 
+@pytest.mark.parametrize(("n", "share", "common", "hot"), [(2, 70, 2, 8192), (2, 70, 2, 4), (1, 50, 0, 8192), (2, 80, 8, 8192), (1, 40, 2, 8192)])
+def test_pairs_of_common_tokens_miss_nothing(spark, n, share, common, hot):
+    rows = list(enumerate(texts(160)))
+    df = spark.createDataFrame(rows, "id long, a string")
+    found = NearDuplicates(df, "id", ["a"], Alike(shingle=n, threshold=share / 100, common=common, hot=hot, postings_per_tree=200, fan_out=3)).pairs()
+    assert {(r["id_a"], r["id_b"]) for r in found.collect()} == brute(rows, n, share)
+
+
+def met(n, common):
+    """Pairs of records a record that meet in a tree, of n texts over one small vocabulary."""
+    import numpy as np
+
+    from granary.llm import arrays, neardup
+
+    a, rng = Alike(shingle=1, threshold=0.7, common=common), random.Random(4)
+    sets = neardup.token_sets([" ".join(rng.choices(WORDS + [f"v{i}" for i in range(240)], k=60)) for _ in range(n)], 1)
+    count = lambda tokens: np.bincount((tokens & np.uint64(a.least_slots - 1)).astype(np.int64), minlength=a.least_slots).astype(np.uint32)
+    counts = count(sets.token)
+    held = (counts > common)[(sets.token & np.uint64(a.least_slots - 1)).astype(np.int64)]
+    joint = count(neardup.neighbours(sets.row[held], sets.token[held])[1])
+    token = neardup.postings(sets, counts, arrays.MOST, a, joint, common)[0]
+    return (np.unique(token, return_counts=True)[1].astype(float) ** 2).sum() / 2 / n
+
+
+def test_trees_stay_small_where_the_vocabulary_is_used_up():
+    assert met(4000, 1 << 30) > 5 * met(4000, 100)
+
+
 def test_groups_are_components(spark):
     rows = list(enumerate(texts(80, 5)))
     df = spark.createDataFrame(rows, "id long, t string")
