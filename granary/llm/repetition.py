@@ -3,13 +3,14 @@
 A document's share of repeated content is the share of its words that lie in some run of
 ``n`` words that has already occurred earlier in it. Measuring it needs the place of every
 word, so a cheaper score comes first: how many of its runs occurred earlier, for each word.
-From which score on a document is rejected is not guessed: on a labelled holdout (the label is
+From which score on a document is rejected is not guessed: over all documents (the label is
 the exact share) exact binomial (Clopper-Pearson) upper bounds of both error rates are computed
 for each stratum and candidate cutoff, at a confidence corrected for all the tests made. Only
 rejected documents get the exact measure, which has the last word. The lowest candidate is a
-cutoff below which no document can reach the share, so it loses none; a higher one is taken
-only where the lowest would reject too many clean documents, and only if no document of the
-holdout is lost to it and the bound of that rate holds, too.
+cutoff below which no document can reach the share, so it loses none, and documents below it
+are labelled clean without the measure; a higher one is taken only where the lowest would
+reject too many clean documents, and only if no document at all is lost to it and the bound of
+that rate holds, too.
 """
 
 from __future__ import annotations
@@ -78,26 +79,26 @@ MOST_STRATA = 10_000
 MEASURES = "n_words long, n_repeats long, n_covered long, run_share double, repeated_share double"
 
 
-def repetition(df: DataFrame, id: str, text: str, strata: list[str] | None = None, n: int = 4, chosen: DataFrame | None = None, risk: Risk | None = None) -> DataFrame:
+def repetition(df: DataFrame, id: str, text: str, strata: list[str] | None = None, n: int = 4, chosen: DataFrame | None = None, risk: Risk | None = None, least: float = 0.0) -> DataFrame:
     """(id, stratum, n_words, n_repeats, n_covered, run_share, repeated_share), one row per row of ``df``.
 
     run_share is the cheap score. With ``chosen`` (from ``cutoffs``) only rows at or over the
-    cutoff of their stratum have the exact measure; n_covered and repeated_share of the others
-    are null. Null and blank texts, and texts of fewer than ``n`` + 1 words, have share 0.
+    cutoff of their stratum have the exact measure, without it those whose score is ``least`` or
+    more; n_covered and repeated_share of the others are null. Null and blank texts, and texts of fewer than ``n`` + 1 words, have share 0.
     Repeated rows give repeated results; columns that are not named are not read.
     """
     narrow = df.select(F.col(id).cast("long").alias("id"), stratum_of(strata).alias("stratum"), arrays.text(text).alias("text"))
-    exact = chosen is None
+    exact = chosen is None and not least
     risk = risk or Risk()
-    if exact:
-        narrow = narrow.withColumn("cutoff", F.lit(0.0))
+    if chosen is None:
+        narrow = narrow.withColumn("cutoff", F.lit(least))
     else:
         known = chosen.orderBy(F.col("n_clean").desc(), "stratum").limit(MOST_STRATA).select("stratum", "cutoff")
         narrow = narrow.join(F.broadcast(known), "stratum", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(risk.lowest(n))))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        least = None if exact else batch.column("cutoff").to_numpy(zero_copy_only=False)
-        total, repeats, covered = repeated_shares(arrays.strings(batch, "text"), n, least)
+        cutoff = None if exact else batch.column("cutoff").to_numpy(zero_copy_only=False)
+        total, repeats, covered = repeated_shares(arrays.strings(batch, "text"), n, cutoff)
         return pa.RecordBatch.from_pydict(
             {
                 "id": batch.column("id"),
@@ -128,8 +129,6 @@ class Risk:
     #: Highest candidate cutoff of the score, and how many candidates there are from the lowest on.
     highest: float = 0.5
     steps: int = 11
-    #: About how many labelled documents the holdout takes of one stratum.
-    holdout: int = 4000
 
     def lowest(self, n: int) -> float:
         """The score that every heavy document reaches: each repeated run covers at most n words."""
@@ -183,26 +182,17 @@ def upper_bound(errors: int, trials: int, chance: float) -> float:
     return high
 
 
-def holdout(df: DataFrame, strata: list[str] | None, id: str, risk: Risk) -> DataFrame:
-    """Rows of ``df`` for the labels: about ``risk.holdout`` of each stratum, drawn by hash of the id."""
-    named = df.withColumn("_stratum", stratum_of(strata))
-    sizes = named.groupBy("_stratum").agg(F.count("*").alias("_n"))
-    draw = F.pmod(F.xxhash64(F.col(id), F.lit("holdout")), F.lit(1 << 32)) / float(1 << 32)
-    known = sizes.orderBy(F.col("_n").desc(), "_stratum").limit(MOST_STRATA)
-    return named.join(F.broadcast(known), "_stratum").where(draw * F.col("_n") < risk.holdout).drop("_stratum", "_n")
-
-
 def cutoffs(df: DataFrame, id: str, text: str, strata: list[str] | None = None, n: int = 4, risk: Risk = Risk()) -> DataFrame:
     """(stratum, n_clean, false_rejections, rejection_bound, n_heavy, missed, miss_bound, cutoff): the cutoff of each stratum.
 
-    The label is the definition itself, a share of at least ``risk.heavy``. A false rejection
+    The label is the definition itself, a share of at least ``risk.heavy``, and every row counts. A false rejection
     is a clean document at or over the cutoff, a miss a heavy one below it. The confidence is
     divided by the number of tests of all strata (Bonferroni). Where no candidate is proven, as
     in strata of a few documents, the cutoff is the lowest one, which misses nothing.
     """
-    held = repetition(holdout(df, strata, id, risk), id, text, strata, n)
+    held = repetition(df, id, text, strata, n, least=risk.lowest(n))
     grid = risk.grid(n)
-    clean, over = F.col("repeated_share") < risk.heavy, [F.col("n_repeats") >= c * F.col("n_words") - 1e-9 for c in grid]
+    clean, over = F.coalesce("repeated_share", F.lit(0.0)) < risk.heavy, [F.col("n_repeats") >= c * F.col("n_words") - 1e-9 for c in grid]
     errors = [F.sum((clean & o).cast("long")).alias(f"e{k}") for k, o in enumerate(over)]
     misses = [F.sum((~clean & ~o).cast("long")).alias(f"m{k}") for k, o in enumerate(over)]
     counts = cut(held.groupBy("stratum").agg(F.sum(clean.cast("long")).alias("n_clean"), F.sum((~clean).cast("long")).alias("n_heavy"), *errors, *misses))

@@ -55,6 +55,24 @@ def test_cutoffs_never_lose_a_heavy_document(spark):
     assert found == {r["id"] for r in rows.collect() if r["n_words"] and 2 * r["n_covered"] >= r["n_words"]} and 2001 in found
 
 
+LOW = [9002]  # an id that a draw of two thirds of the rows by its hash would leave out
+
+
+def test_cutoffs_count_every_row(spark):
+    """A stratum of 6 000 rows, where one heavy text has the lowest score that a heavy text can have."""
+    fresh = lambda i, k: " ".join(f"u{i}x{j}z" for j in range(k))
+    texts = [fresh(i, 10) + " a b c d" * 4 if i % 10 == 0 else fresh(i, 20) + " a b c d" * 3 if i % 10 == 1 else fresh(i, 6) for i in range(6000)]
+    digitless = ["".join(chr(97 + int(c)) if c.isdigit() else c for c in x) for x in texts]
+    runs = [" ".join(f"{w}{chr(97 + k)}" for w in ("p", "q", "r", "s")) for k in range(8)]
+    low = " ".join(runs + runs[::-1])
+    df = spark.createDataFrame([*enumerate(digitless), *((i, low) for i in LOW)], "id long, t string")
+    chosen = cutoffs(df, "id", "t").collect()
+    assert [r["n_clean"] + r["n_heavy"] for r in chosen] == [6000 + len(LOW)]
+    found = {r["id"] for r in heavy(repetition(df, "id", "t", chosen=cutoffs(df, "id", "t"))).collect()}
+    exact = {r["id"] for r in heavy(repetition(df, "id", "t")).collect()}
+    assert found == exact and set(LOW) <= found
+
+
 def test_a_cutoff_decides_which_rows_are_measured(spark):
     df = stratified(spark)
     high = cutoffs(df, "id", "response", ["lang"]).withColumn("cutoff", F.lit(0.45))
